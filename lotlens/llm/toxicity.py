@@ -88,7 +88,7 @@ def swapped(words: list[str], terms=IDENTITY_TERMS) -> list[list[str]]:
     return out
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[int, np.ndarray]], penalty: float = 1.0, l2: float = 1e-4, steps: int = 300, rate: float = 0.3, least_rows: int = 3, least_chi2: float = 15.0) -> Model:
+def fit(features: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[int, np.ndarray]], penalty: float = 1.0, l2: float = 1e-4, steps: int = 300, rate: float = 0.3, least_rows: int = 3, least_chi2: float = 8.0) -> Model:
     """Logistic regression by Adagrad on the mean loss, ridge and counterfactual penalty.
 
     ``swaps`` holds (row, features of a counterfactual). Features in fewer than ``least_rows`` rows, or whose
