@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsers as P
 from ..functions import scalars as S
-from ..operators import baseline, features, ledger, lifecycle, metrics, profiling, quality
+from ..operators import adapters, baseline, features, ledger, lifecycle, metrics, pricing_model, profiling, quality
 from ..sources.tables import LISTINGS_SQL, listings, scratch, table
 from ..streaming import entities as stream
 
@@ -674,3 +674,54 @@ def detail_merge_priority(spark, sf_dir):
     fresh = e.filter(F.col("event_id") % 50 == 0).groupBy("url").agg(F.max("event_id").alias("detail"))
     cache = e.filter(F.col("event_id") % 20 == 1).groupBy("url").agg(F.min("event_id").alias("detail"))
     return lifecycle.merge_details(e.select("url").distinct(), fresh, cache, ["detail"])
+
+
+# --- adapters, models and pages -----------------------------------------------------------------------
+
+_RUN = adapters.Run("1997-06-01T00:00:00Z", "run_1", "Pune", "Maharashtra")
+
+
+def cards(spark, sf_dir):
+    """Order lines written out as one source's raw listing cards."""
+    i, p = F.col("record_index"), F.col("listed_price_inr")
+    given = {
+        "title": F.concat(F.col("model_year").cast("string"), F.when(i % 2 == 0, " Honda City VX").otherwise(" Tata Nexon XM")), "price": F.concat(F.lit("Rs "), p.cast("string")), "variant": F.when(i % 3 != 0, "VX CVT"), "km": F.concat(F.col("km_driven").cast("string"), F.lit(" km")),
+        "fuel": F.col("fuel_type"), "transmission": F.col("transmission"), "registration": F.lit("MH 12"), "locality": F.lit("Baner, Pune"), "listing_url": F.col("listing_url"),
+    }
+    raw = F.struct(*[given.get(n, F.lit(None).cast("string")).alias(n) for n in adapters.raw_fields("spinny")])
+    return listings(spark, sf_dir).filter(p >= 1000).select(i.alias("index"), F.lit("https://cars.example").alias("source_url"), raw.alias("raw"))
+
+
+@query("""SELECT record_index AS index, CASE record_index % 2 WHEN 0 THEN 'Honda' ELSE 'Tata' END AS brand, CASE record_index % 2 WHEN 0 THEN 'City' ELSE 'Nexon' END AS model, CASE WHEN record_index % 3 <> 0 THEN 'VX CVT' WHEN record_index % 2 = 0 THEN 'VX' ELSE 'XM' END AS variant, model_year, listed_price_inr, km_driven, fuel_type, transmission, 'MH12' AS registration_code,
+CASE fuel_type WHEN 'unknown' THEN 0.2 ELSE 0.9 END AS parse_confidence, concat_ws(',', 'variant_inferred', CASE WHEN listed_price_inr < 50000 THEN 'price_below_soft_minimum' END, CASE fuel_type WHEN 'unknown' THEN 'unknown_fuel_type' END, CASE WHEN record_index % 3 = 0 THEN 'variant_recovered_from_title' END) AS parse_warnings FROM listings WHERE listed_price_inr >= 1000""")
+def canonical_projection(spark, sf_dir):
+    out = adapters.canonical(cards(spark, sf_dir), "spinny", _RUN, 2026)
+    return out.select("index", "brand", "model", "variant", "model_year", "listed_price_inr", "km_driven", "fuel_type", "transmission", "registration_code", "parse_confidence", F.array_join("parse_warnings", ",").alias("parse_warnings"))
+
+
+@query("SELECT record_index AS record_index, 'variant' AS field_name, 'missing_required_raw_field' AS reason FROM listings WHERE listed_price_inr >= 1000 AND record_index % 3 = 0 UNION ALL SELECT record_index, 'fuel', 'missing_required_raw_field' FROM listings WHERE FALSE")
+def payload_contract(spark, sf_dir):
+    return adapters.contract(cards(spark, sf_dir), "spinny")
+
+
+@query()
+def gbt_price_predictions(spark, sf_dir):
+    """Boosted trees trained on the split's larger side, predicting the smaller one; rows only."""
+    train, test = halves(spark, sf_dir)
+    model = pricing_model.fit(train, iterations=10, depth=4, snapshot_year=1999)
+    return model.predict(test).select("record_key", "listed_price_inr", F.bround("predicted_price_inr", 2).alias("predicted_price_inr"))
+
+
+@query("WITH r AS (SELECT record_key, source, listed_price_inr FROM listings) SELECT record_key, CASE WHEN listed_price_inr < 50000 THEN 'below' ELSE 'above' END AS edge FROM r WHERE listed_price_inr < 50000 OR listed_price_inr > 3000000")
+def edge_price_rows(spark, sf_dir):
+    return profiling.edge_prices(listings(spark, sf_dir)).select("record_key", F.when(F.col("listed_price_inr") < 50_000, "below").otherwise("above").alias("edge"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{f}' AS field, count(*) FILTER ({f} IS NULL OR trim(CAST({f} AS VARCHAR)) = '') AS missing FROM listings HAVING count(*) FILTER ({f} IS NULL OR trim(CAST({f} AS VARCHAR)) = '') > 0" for f in _FIELDS))
+def missing_report(spark, sf_dir):
+    return profiling.completeness(listings(spark, sf_dir), _FIELDS).filter("missing > 0").select("field", "missing")
+
+
+@query("SELECT record_key, concat_ws(',', CASE WHEN variant IS NULL THEN NULL END, CASE WHEN model_year NOT BETWEEN 2000 AND 2026 THEN 'model_year_out_of_range' END, CASE WHEN km_driven NOT BETWEEN 0 AND 300000 THEN 'km_out_of_range' END, CASE WHEN ownership NOT BETWEEN 1 AND 5 THEN 'ownership_out_of_range' END) AS violations FROM listings")
+def request_violations(spark, sf_dir):
+    return listings(spark, sf_dir).select("record_key", F.array_join(features.request_violations(), ",").alias("violations"))
