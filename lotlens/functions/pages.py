@@ -26,7 +26,7 @@ SCORE_LABELS = {"Core systems": "core_systems", "Supporting systems": "supportin
 
 
 def lines_of(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\R"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"\R"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _first(lines: Column, test, after: Column) -> Column:
