@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsers as P
 from ..functions import scalars as S
-from ..operators import adapters, baseline, features, ledger, lifecycle, metrics, pricing_model, profiling, quality
+from ..operators import adapters, baseline, captures, features, ledger, lifecycle, metrics, pricing_model, profiling, quality
 from ..sources.tables import LISTINGS_SQL, listings, scratch, table
 from ..streaming import entities as stream
 
@@ -725,3 +725,27 @@ def missing_report(spark, sf_dir):
 @query("SELECT record_key, concat_ws(',', CASE WHEN variant IS NULL THEN NULL END, CASE WHEN model_year NOT BETWEEN 2000 AND 2026 THEN 'model_year_out_of_range' END, CASE WHEN km_driven NOT BETWEEN 0 AND 300000 THEN 'km_out_of_range' END, CASE WHEN ownership NOT BETWEEN 1 AND 5 THEN 'ownership_out_of_range' END) AS violations FROM listings")
 def request_violations(spark, sf_dir):
     return listings(spark, sf_dir).select("record_key", F.array_join(features.request_violations(), ",").alias("violations"))
+
+
+# --- captures -----------------------------------------------------------------------------------------
+
+
+@query("""WITH d AS (SELECT 'u' || user_id AS url, CASE WHEN event_id % 4 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN event_id % 8 = 0 THEN 'timeout' WHEN event_id % 4 = 0 THEN 'detail_fields_missing' END AS failure, CAST(event_id % 3 + 1 AS INTEGER) AS attempts FROM events)
+SELECT count(*) AS attempted, count(DISTINCT url) AS unique_urls, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status <> 'ok') AS failed, count(*) FILTER (failure = 'timeout') AS timeouts, CAST(sum(attempts - 1) AS BIGINT) AS retries, round_even(count(*) FILTER (status = 'ok') / CAST(count(*) AS DOUBLE), 4) AS coverage FROM d""", on_listings=False)
+def capture_summary(spark, sf_dir):
+    k = F.col("event_id")
+    d = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), F.when(k % 4 == 0, "failed").otherwise("ok").alias("status"), F.when(k % 8 == 0, "timeout").when(k % 4 == 0, "detail_fields_missing").alias("failure"), (k % 3 + 1).cast("int").alias("attempts"))
+    return captures.detail_summary(d)
+
+
+@query("SELECT doc_id, CASE WHEN n >= 30 THEN 'record_cap_reached' WHEN p >= 5 AND n >= 10 THEN 'min_records_reached_at_page_cap' WHEN p >= t THEN 'total_pages_reached' WHEN p >= 5 THEN 'page_cap_reached' ELSE 'unknown' END AS reason FROM (SELECT doc_id, doc_id % 40 AS n, doc_id % 7 AS p, doc_id % 9 AS t FROM documents)", on_listings=False)
+def stop_reasons(spark, sf_dir):
+    d = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", captures.stop_reason(d % 40, F.lit(30), F.lit(10), d % 7, d % 9, F.lit(5)).alias("reason"))
+
+
+@query("WITH j AS (SELECT c_mktsegment AS source, count(*) AS jobs FROM customer GROUP BY 1) SELECT source, jobs, CASE WHEN source IN ('AUTOMOBILE', 'BUILDING') THEN 'skipped' ELSE 'planned' END AS state FROM j", on_listings=False)
+def resume_plan(spark, sf_dir):
+    jobs = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("source")).agg(F.count("*").alias("jobs"))
+    passed = spark.createDataFrame([("AUTOMOBILE",), ("BUILDING",), ("BUILDING",)], "source string")
+    return ledger.resume(jobs, passed, ["source"])

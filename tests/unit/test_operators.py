@@ -157,3 +157,37 @@ def test_price_model(spark, tmp_path):
 def test_request_rules(spark):
     row = spark.createDataFrame([("Audi", "", 1999, 10, "petrol", "manual", "x", "7")], "brand string, model string, model_year int, km_driven int, fuel_type string, transmission string, city string, ownership string")
     assert row.select(features.request_violations().alias("v")).first().v == ["missing_model", "model_year_out_of_range", "ownership_out_of_range"]
+
+
+def test_runs_and_packages(spark, tmp_path):
+    from lotlens.operators import metrics, scoring
+    from lotlens.plans import packages
+
+    run = adapters.Run("2026-06-24T10:00:00Z", "run", "Hyderabad", "Telangana")
+    cards = [RAW["spinny"] | {"km": f"{40 + i}K km", "price": f"{4 + i}.03 Lakh", "ownership": "1st Owner", "listing_url": f"https://cars.example/buy-used-cars/x/honda/jazz/v-at-2016/{i}/"} for i in range(12)]
+    paths = packages.run_payload(spark, payload(tmp_path, "spinny", cards), "spinny", run, 2026, str(tmp_path / "layers"), "2026-06-24")
+    assert spark.read.json(paths["summary"]).first().run_ready
+    seen = packages.observations(spark.read.parquet(paths["silver"]).drop("capture_date", "run_id")).withColumns({"run_id": F.lit("run"), "capture_date": F.lit("2026-06-24")})
+    latest = [c for c in lifecycle.OBSERVATION_FIELDS if c in seen.columns and c not in ("listing_key", "run_id", "capture_date")] + ["listing_identity_basis", "vehicle_fingerprint"]
+    rows = packages.modeling_rows(lifecycle.entities(seen, tuple(latest)).withColumns({"run_id": F.get("run_ids", F.lit(0)), "capture_date": F.get("capture_dates", F.lit(0))}), 2026)
+    assert rows.columns == list(packages.MODELING_COLUMNS) and rows.count() == 12
+    assert {r.status for r in packages.modeling_checks(rows, 12, 12).collect()} == {"pass"}
+    packages.write_modeling_package(rows, str(tmp_path / "package"), 2026)
+    assert spark.read.json(str(tmp_path / "package/metrics")).first().n == rows.filter("baseline_split = 'test'").count()
+    with pytest.raises(ValueError):
+        packages.merged_metadata({}, {"totals": 1})
+    ask = rows.limit(1).withColumn("fuel_type", F.lit("EV")).select("brand", "model", "model_year", "km_driven", "fuel_type", "transmission", "city")
+    asked = scoring.requests(ask).first()
+    assert asked.violations == [] and asked.fuel_type == "electric" and asked.source == "true_value" and asked.ownership == "unknown"
+    got = scoring.graded(ask.withColumn("predicted_price_inr", F.lit(492808.0)), rows).first()
+    assert got.confidence == "medium" and got.price_band == "2.5L_5L" and (got.low_price_inr, got.high_price_inr) == (404103, 581513)
+    assert metrics.error_bands(F.lit(1.0))
+
+
+def test_stream_keeps_entities_up_to_date(spark, tmp_path):
+    from lotlens.streaming import entities
+
+    for i, rows in enumerate([[("a", "t1"), ("b", "t2")], [("a", "t0"), ("c", "t3")]]):
+        spark.createDataFrame(rows, "k string, at string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = entities.stream_entities(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, str(tmp_path / "out"), "k", "at", str(tmp_path / "log"))
+    assert sorted(map(tuple, out.collect())) == [("a", 2, "t0", "t1"), ("b", 1, "t2", "t2"), ("c", 1, "t3", "t3")]
