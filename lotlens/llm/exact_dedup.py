@@ -38,15 +38,14 @@ def _cells(hashed: Column, cells: int) -> list[Column]:
     return [low, F.shiftrightunsigned(hashed, 32).bitwiseAND(F.lit(cells - 1))]
 
 
-def repeated_cells(df: DataFrame, hashed: Column, cells: int) -> np.ndarray:
-    """Pass one: a bitmap (lowest bit first) of the cells that two rows or more hit.
+def bitmap(marked: DataFrame, cells: int) -> np.ndarray:
+    """The table's bits (lowest first) from a column ``cell`` of distinct set cells.
 
     Spark's bitmap functions count values from 1, so cell c is handed to them as c + 1.
     """
-    hits = df.select(F.explode(F.array_distinct(F.array(*_cells(hashed, cells)))).alias("cell"))
-    twice = hits.groupBy((F.col("cell") + 1).alias("value")).count().filter("count >= 2")
     blocks = (
-        twice.groupBy(F.expr("bitmap_bucket_number(value)").alias("block"))
+        marked.select((F.col("cell") + 1).alias("value"))
+        .groupBy(F.expr("bitmap_bucket_number(value)").alias("block"))
         .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(value))").alias("bits"))
         .toArrow()
     )
@@ -57,6 +56,27 @@ def repeated_cells(df: DataFrame, hashed: Column, cells: int) -> np.ndarray:
     return table
 
 
+def repeated_cells(df: DataFrame, hashed: Column, cells: int) -> np.ndarray:
+    """Pass one: a bitmap of the cells that two rows or more hit."""
+    hits = df.select(F.explode(F.array_distinct(F.array(*_cells(hashed, cells)))).alias("cell"))
+    return bitmap(hits.groupBy("cell").count().filter("count >= 2").select("cell"), cells)
+
+
+def member_cells(df: DataFrame, hashed: Column, cells: int) -> np.ndarray:
+    """A plain Bloom filter of the rows' hashes."""
+    return bitmap(df.select(F.explode(F.array_distinct(F.array(*_cells(hashed, cells)))).alias("cell")).distinct(), cells)
+
+
+def bits_set(bits: np.ndarray, h: np.ndarray, cells: int) -> np.ndarray:
+    """Whether both cells of each 64-bit hash are set."""
+    h = h.view(np.uint64)
+    hit = np.ones(len(h), bool)
+    for cell in (h & np.uint64(cells - 1), (h >> np.uint64(32)) & np.uint64(cells - 1)):
+        at = cell.astype(np.int64)
+        hit &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return hit
+
+
 def possibly_repeated(df: DataFrame, hashed: Column, rows: int | None = None) -> Column:
     """Pass two: a flag for each row, true for every row whose hash occurs at least twice."""
     cells = table_cells(df.count() if rows is None else rows)
@@ -64,13 +84,7 @@ def possibly_repeated(df: DataFrame, hashed: Column, rows: int | None = None) ->
 
     @F.pandas_udf("boolean")
     def both_set(h: pd.Series) -> pd.Series:
-        bits = shared.value
-        h = h.to_numpy(np.int64).view(np.uint64)
-        hit = np.ones(len(h), bool)
-        for cell in (h & np.uint64(cells - 1), (h >> np.uint64(32)) & np.uint64(cells - 1)):
-            at = cell.astype(np.int64)
-            hit &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        return pd.Series(hit)
+        return pd.Series(bits_set(shared.value, h.to_numpy(np.int64), cells))
 
     return both_set(hashed)
 
