@@ -26,8 +26,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def line_key(line: Column) -> Column:
-    """White space (0x20, 0x09 to 0x0D) stripped at both ends, A to Z lower-cased."""
-    return F.translate(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), UPPER, LOWER)
+    """White space (0x20, 0x09 to 0x0D) stripped at both ends, A to Z lower-cased.
+
+    In text of single bytes that is plain lower case, which Spark does many times faster.
+    """
+    bare = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
 def shared_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
