@@ -6,8 +6,7 @@ The partitions' token totals, one row each, become global offsets by a running s
 document's two offsets and cuts its ids at multiples of the window; every piece is a boundary record.
 No text and no ids are shuffled, so a source or document of any size changes nothing.
 
-Words are encoded once per task and remembered (at most ``CACHE_WORDS`` of them); unseen words of a
-batch go to the tokenizer together. This gives the ids of whole-text encoding, because the tokenizer
+Chunks and words are encoded once per task and remembered (``CACHE_WORDS`` and twice as many at most). This gives the ids of whole-text encoding, because the tokenizer
 normalises the text first and then never merges across its pre-tokens.
 
 All windows are full but the last one, which is padded to the window unless it is a power of two long.
@@ -19,11 +18,14 @@ null ids are carried; an empty table gives an empty result; extra columns are ig
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,36 +36,92 @@ from .base import vocabulary, whole, written
 WINDOW = 2048
 END_ID = 1
 CACHE_WORDS = 400_000
-BATCH_ROWS = 256
+BATCH_ROWS = 1024
 
 
 class WordEncoder:
-    """Ids of whole texts from a word-level tokenizer file, by a bounded word cache."""
+    """Ids of whole texts from a word-level tokenizer file, by bounded caches.
+
+    No token spans white space, so a text's ids are those of its blank-separated chunks in a row. Chunks
+    seen before are looked up; others are split into words by the tokenizer's pattern, and words not seen
+    before are encoded together as one text, in which tokens that end a word mark where each one stops.
+    """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # for words that are normalised and split already
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         with open(path, encoding="utf-8") as f:
-            split = json.load(f)["pre_tokenizer"]["pretokenizers"][0]
-        self.words = regex.compile(split["pattern"]["Regex"])
-        self.normalize = self.tokenizer.normalizer.normalize_str
-        self.cache: dict[str, bytes] = {}
+            model = json.load(f)
+        self.words = regex.compile(model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        # Python splits at these, the tokenizer does not: such texts are encoded by it as they are
+        self.blanks = re.compile(r"[^\S\x00-\x7f]").sub
+        self.separators = re.compile("[\x1c-\x1f]").search
+        suffix = model["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(max(model["model"]["vocab"].values()) + 1, bool)
+        self.ends[[i for t, i in model["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self.chunks: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.cache_words = cache_words
 
+    def _learn_words(self, unseen: list[str]) -> None:
+        for start in range(0, len(unseen), 20_000):
+            part = unseen[start : start + 20_000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u2")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):
+                raise ValueError("the tokenizer's words do not end where they should")
+            raw, at = ids.tobytes(), 0
+            for w, stop in zip(part, (stops * 2).tolist(), strict=True):
+                self.known[w] = raw[at:stop]
+                at = stop
+
+    def _split(self, chunk: str) -> list[str]:
+        """The pattern's words of a chunk, with short cuts for letters and letters before a mark."""
+        if chunk.isalpha():
+            return [chunk]
+        if not chunk:
+            return []
+        if chunk[-1] in ".,;:!?|" and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.words(chunk)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.words.findall(self.normalize(t)) for t in texts]
-        unseen = list({w for words in split for w in words if w not in self.cache})
-        if len(self.cache) + len(unseen) > self.cache_words:
-            self.cache = {}
-            unseen = list({w for words in split for w in words})
-        for start in range(0, len(unseen), 10_000):
-            part = unseen[start : start + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u2").tobytes()
-        get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<u2") for words in split]
+        odd = [i for i, t in enumerate(texts) if self.separators(t)]
+        out = self._encode([t if i not in odd else "" for i, t in enumerate(texts)] if odd else texts)
+        for i in odd:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u2")
+        return out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        # the tokenizer lower-cases letter by letter, so a final capital sigma is no exception to it
+        lower = [t.lower() if t.isascii() else self.blanks(" ", unicodedata.normalize("NFC", t).replace("\u03a3", "\u03c3").lower()) for t in texts]
+        chunks = pc.ascii_split_whitespace(pa.array(lower, pa.large_string()))
+        coded = chunks.flatten().dictionary_encode()
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.chunks) > self.cache_words:
+            self.chunks.clear()
+        if len(self.known) > 2 * self.cache_words:
+            self.known.clear()
+        words = {c: self._split(c) for c in set(distinct).difference(self.chunks)}
+        self._learn_words(list({w for ws in words.values() for w in ws}.difference(self.known)))
+        known = self.known.__getitem__
+        for c, ws in words.items():
+            self.chunks[c] = known(ws[0]) if len(ws) == 1 else b"".join(map(known, ws))
+        raw = list(map(self.chunks.__getitem__, distinct))
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 2
+        table, first = np.frombuffer(b"".join(raw), "<u2"), np.cumsum(sizes) - sizes
+        n = sizes[codes]
+        stops = np.cumsum(n)
+        ids = table[np.arange(stops[-1] if len(n) else 0) + np.repeat(first[codes] - (stops - n), n)]
+        edges = np.concatenate([[0], stops])[chunks.offsets.to_numpy()]
+        return [ids[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
