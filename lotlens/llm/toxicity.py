@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .base import whole
 
 BITS = 20
-MAX_ROWS = 40_000
+MAX_ROWS = 8_000
 THRESHOLD = 0.7
 BATCH_ROWS = 256
 PREFIXES = (4, 5, 6)
@@ -99,8 +99,8 @@ def fit(features: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[int, n
     n = len(labels)
     if n == 0 or labels.min() == labels.max():
         return Model(weights, -np.inf)
-    flat, row = np.concatenate(features), np.repeat(np.arange(n), [len(f) for f in features])
-    seen, in_toxic = np.bincount(flat, minlength=size), np.bincount(flat, labels[row], size)
+    flat, row = np.concatenate(features).astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in features])
+    seen, in_toxic = np.bincount(flat, minlength=size), np.bincount(flat[labels[row] == 1], minlength=size)
     base = labels.mean()
     chi2 = (in_toxic - seen * base) ** 2 / np.maximum(seen * base * (1 - base) * (1 - seen / (n + 1)), 1e-9)
     used = np.flatnonzero((seen >= least_rows) & (chi2 >= least_chi2))
@@ -146,7 +146,10 @@ def train(docs: DataFrame, labels: DataFrame, penalty: float = 1.0, max_rows: in
     # the sample is cut by hash, so its expected size is the bound and no sort is needed
     if total > max_rows:
         marked = marked.filter(F.pmod(order, F.lit(1 << 20)) < F.lit(int((1 << 20) * (max_rows / total))))
-    sample = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).join(marked.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")), "id")
+    chosen = marked.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    # two numbers a row: broadcast while the sample is as small as it should be, else (ids repeated at will) joined
+    chosen = F.broadcast(chosen) if chosen.count() <= 2 * max_rows else chosen
+    sample = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).join(chosen, "id")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -160,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, penalty: float = 1.0, max_rows: in
 
     rows = sample.mapInArrow(extract, T.StructType([sample.schema["id"], sample.schema["y"], T.StructField("own", T.ArrayType(T.IntegerType())), T.StructField("others", T.ArrayType(T.ArrayType(T.IntegerType())))])).toArrow()
     order = np.lexsort((rows["y"].to_numpy(), rows["id"].to_numpy())) if rows.num_rows else np.zeros(0, np.int64)
-    own = [x.astype(np.int64) for x in rows["own"].to_numpy()]
+    own = rows["own"].to_numpy()
     others = rows["others"].to_pylist()
     swaps = [(k, np.array(o, np.int64)) for k, r in enumerate(order) for o in others[r]]
     return fit([own[r] for r in order], rows["y"].to_numpy()[order] if len(order) else np.zeros(0, np.int64), swaps, penalty)
