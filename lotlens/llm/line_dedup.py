@@ -2,10 +2,9 @@
 
 Lines are exploded with their positions, normalised and hashed to 128 bits. The hash table (documents
 per hash, largest id) is built with partial counts, so a line that a third of all documents hold sends
-one row per task and document set. A Bloom filter of the hashes over the threshold (at most 32 MB, as in
-exact deduplication) tells which documents may hold such a line; the others pass straight through. Of
-the rest only lines over the threshold are joined back, and the positions to drop travel to the
-documents, which are reassembled by position.
+one row per task and document set. Only lines over the threshold are joined back, which gives each
+document's positions to drop. A Bloom filter of those documents (at most 32 MB, as in exact
+deduplication) lets the others pass straight through; the rest meet their positions and are reassembled.
 
 Edge cases: null text is one empty line; a null id counts as no document and keeps nothing; repeated
 rows with one id count as one document and get equal results; keys shorter than ``min_chars`` always
@@ -34,42 +33,42 @@ def line_key(line: Column) -> Column:
     return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
-def shared_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+def hashed_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
+    """doc_id, row (hash of the text), pos and h (hash of the key) of every line whose key is long enough."""
+    lines = docs.select("doc_id", F.unhex(F.md5("text")).alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    keys = lines.select("doc_id", "row", "pos", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= min_chars)
+    return keys.select("doc_id", "row", "pos", F.unhex(F.md5("key")).alias("h"))
+
+
+def shared_lines(lines: DataFrame, min_docs: int = 3) -> DataFrame:
     """The hash of each key found in ``min_docs`` documents or more, with the document that keeps it."""
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
-    keys = lines.select("doc_id", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= min_chars)
-    hashed = keys.select("doc_id", F.unhex(F.md5("key")).alias("h"))
-    return hashed.groupBy("h").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
+    return lines.groupBy("h").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
 
 
-def _may_hold(docs: DataFrame, shared: DataFrame, min_chars: int) -> Column:
-    """A flag for each document, true wherever one of its lines is shared."""
-    cells = table_cells(shared.count())
-    table = docs.sparkSession.sparkContext.broadcast(member_cells(shared, F.xxhash64(F.lower(F.hex("h"))), cells))
+def _losing(rows: DataFrame, drops: DataFrame) -> Column:
+    """A flag for each document, true wherever it has lines to drop."""
+    cells = table_cells(drops.count())
+    table = rows.sparkSession.sparkContext.broadcast(member_cells(drops, F.xxhash64("d", "r"), cells))
 
     @F.pandas_udf("boolean")
-    def any_set(lists: pd.Series) -> pd.Series:
-        sizes = lists.map(len).to_numpy(np.int64)
-        hit = bits_set(table.value, np.concatenate(lists.to_list()).astype(np.int64), cells) if sizes.sum() else np.zeros(0, bool)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        return pd.Series(np.bincount(row, hit, len(sizes)) > 0)
+    def listed(h: pd.Series) -> pd.Series:
+        return pd.Series(bits_set(table.value, h.to_numpy(np.int64), cells))
 
-    keys = F.filter(F.transform(F.split("text", "\n", -1), line_key), lambda k: F.char_length(k) >= min_chars)
-    return any_set(F.transform(keys, lambda k: F.xxhash64(F.md5(k))))
+    return listed(F.xxhash64("doc_id", "row"))
 
 
 def drop_shared_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_lines, n_dropped, text (the lines that stay, joined by newline)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
-    shared = written(shared_lines(rows, min_chars, min_docs), "lines")
-    flagged = rows.withColumn("__may", _may_hold(rows, shared, min_chars))
-    pass_on = flagged.filter("not __may").select("doc_id", F.size(F.split("text", "\n", -1)).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_dropped"), "text")
-    row = written(flagged.filter("__may").select("doc_id", "text", F.unhex(F.md5("text")).alias("row")), "line-rows")
-    lines = row.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    keys = lines.select("doc_id", "row", "pos", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= min_chars)
-    hits = keys.select("doc_id", "row", "pos", F.unhex(F.md5("key")).alias("h")).join(shared, "h")
+    lines = written(hashed_lines(rows, min_chars), "lines")
+    shared = written(shared_lines(lines, min_docs), "lines-shared")
+    hits = lines.join(shared, "h")
     losing = hits.filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    drops = losing.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_set("pos").alias("drop"))
+    drops = written(losing.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_set("pos").alias("drop")), "lines-drop")
+    keyed = rows.withColumn("row", F.unhex(F.md5("text")))
+    flagged = keyed.withColumn("__loses", _losing(keyed, drops))
+    pass_on = flagged.filter("not __loses").select("doc_id", F.size(F.split("text", "\n", -1)).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_dropped"), "text")
+    row = flagged.filter("__loses").select("doc_id", "row", "text")
     joined = row.join(drops.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left")
     n_lines = F.size(F.split("text", "\n", -1))
 
