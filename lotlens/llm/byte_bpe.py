@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .base import let, vocabulary, whole, written
 from .token_counts import rank_table
 
-DICTIONARY_WORDS = 1 << 20
+DICTIONARY_WORDS = 1 << 19
 LONGEST_WORD = 64
 BUCKETS = 1 << 16
 SHIFT = 256

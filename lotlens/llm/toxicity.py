@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ def words_of(text: str) -> list[str]:
 class Hasher:
     """Feature numbers of words, remembered for a bounded number of words."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 60_000):
         self.known: dict[str, tuple[int, ...]] = {}
         self.most = most
 
@@ -192,9 +193,10 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_c
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def rejected(texts):
+    def rejected(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights, bias, hasher = shared.value.weights, shared.value.bias, Hasher()
         cut = np.log(threshold / (1 - threshold))
-        return texts.map(lambda t: bool(weights[hasher.text(words_of(t))].sum(dtype=np.float64) + bias >= cut))
+        for texts in batches:
+            yield texts.map(lambda t: bool(weights[hasher.text(words_of(t))].sum(dtype=np.float64) + bias >= cut)).astype(bool)
 
     return docs.filter(~rejected(whole(text_col)))
