@@ -9,11 +9,13 @@ Jaccard similarity. Processes run in ascending time and stop once every componen
 earlier point, so a text needs about m ln m + n points instead of m n.
 
 Equal texts become one class first, with partial aggregation. Classes meet in a bucket when all rows of
-a band agree. A bucket is never expanded into pairs: each member is compared with four representatives
-(smallest and largest class, and two by hash), so pairs grow with the members. Pairs are verified on the
-multisets themselves, and the verified links' connected components are found by minimum labels with
-pointer jumping. A link is missed only if no band of 25 brings its ends, or texts that lead from one to
-the other, together with a common representative.
+a band agree. First each member is compared with four representatives of its bucket (smallest and
+largest class, and two by hash), so pairs grow with the members. Pairs are verified on the multisets
+themselves, and the verified links' connected components are found by minimum labels with pointer
+jumping. Where a bucket's members were not all compared and still lie in several components, those
+outside its largest component are then compared with all its members, exactly and in blocks of bounded
+size, and the components joined. A link is missed only if no band of 25 brings its ends, or texts that
+lead from one to the other, together.
 
 Edge cases: null text counts as empty; texts without words are grouped only with equal texts; null ids
 are carried and rank smallest; of a group the largest doc_id stays, and of rows that repeat one id and
@@ -37,6 +39,7 @@ GRAM = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 BATCH_CHARS = 1_500_000
+BLOCK, BLOCK_GRAMS, COLUMNS = 256, 100_000, 2048  # members and grams of a block, grams compared at once
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -183,16 +186,97 @@ def multisets(texts: DataFrame, key: str, gram: int = GRAM) -> DataFrame:
     return texts.select(key, "text", F.char_length("text").alias("size")).mapInArrow(run, schema)
 
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of classes of which one represents a bucket that both are in."""
-    entries = classes.filter(F.col("bands").isNotNull()).select("cls", F.explode("bands").alias("bucket"))
+def meetings(classes: DataFrame) -> DataFrame:
+    """(bucket, cls, grams, members, heads) of every bucket with more than one member; heads represent the bucket."""
+    entries = classes.filter(F.col("bands").isNotNull()).select("cls", "grams", F.explode("bands").alias("bucket"))
     chosen = entries.groupBy("bucket").agg(
         F.count("*").alias("members"), F.min("cls").alias("r1"), F.max("cls").alias("r2"),
         F.min(F.struct(F.xxhash64(F.lit(1), "cls").alias("h"), "cls")).alias("r3"), F.min(F.struct(F.xxhash64(F.lit(2), "cls").alias("h"), "cls")).alias("r4"),
     )
-    buckets = written(chosen.filter("members > 1").select("bucket", F.array_distinct(F.array("r1", "r2", "r3.cls", "r4.cls")).alias("heads")), "buckets")
-    met = entries.join(buckets, "bucket").select("cls", F.explode("heads").alias("head")).filter("cls <> head")
-    return met.select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).distinct()
+    buckets = written(chosen.filter("members > 1").select("bucket", "members", F.array_distinct(F.array("r1", "r2", "r3.cls", "r4.cls")).alias("heads")), "buckets")
+    return entries.join(buckets, "bucket").select("bucket", "cls", "grams", "members", "heads")
+
+
+def candidate_pairs(met: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of classes of which one represents a bucket that both are in."""
+    pairs = met.select("cls", F.explode("heads").alias("head")).filter("cls <> head")
+    return pairs.select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).distinct()
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The number of shared elements of each left with each right array; within an array elements are distinct."""
+    sides, (n, m) = [], (len(left), len(right))
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    for arrays in (left, right):
+        flat, row = np.concatenate(arrays), np.repeat(np.arange(len(arrays)), [len(x) for x in arrays])
+        at = np.minimum(np.searchsorted(shared, flat), max(len(shared) - 1, 0))
+        held = shared[at] == flat if len(shared) else np.zeros(len(flat), bool)
+        order = np.argsort(at[held], kind="stable")
+        sides.append((row[held][order], at[held][order]))
+    out = np.zeros((n, m), np.float32)
+    for start in range(0, len(shared), COLUMNS):
+        blocks = []
+        for (row, at), k in zip(sides, (n, m), strict=True):
+            lo, hi = np.searchsorted(at, (start, start + COLUMNS))
+            block = np.zeros((k, min(COLUMNS, len(shared) - start)), np.float32)
+            block[row[lo:hi], at[lo:hi] - start] = 1
+            blocks.append(block)
+        out += blocks[0] @ blocks[1].T
+    return out.astype(np.int64)
+
+
+def remaining_links(met: DataFrame, roots: DataFrame, bags: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between roots: the components that members of one bucket still have to join.
+
+    ``roots`` has every class. Only buckets whose members were not all compared and lie in several
+    components are read. Those outside the bucket's largest component meet all its members, in blocks
+    of bounded size; within a block all pairs are compared on their multisets.
+    """
+    spark = met.sparkSession
+    crowded = met.filter(F.size("heads") < F.col("members") - 1).select("bucket", "cls", "grams")
+    rooted = written(crowded.join(roots, "cls"), "rooted")
+    parts = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("grams").alias("g"))
+    plan = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("g").alias("g"), F.max(F.struct("n", "g", "root")).alias("main")).filter("parts > 1")
+    blocks = lambda n, g: F.ceil(F.greatest(n / F.lit(BLOCK), g / F.lit(BLOCK_GRAMS)))
+    plan = written(plan.select("bucket", F.col("main.root").alias("main"), blocks(F.col("n") - F.col("main.n"), F.col("g") - F.col("main.g")).alias("lefts"), blocks(F.col("n"), F.col("g")).alias("rights")), "blocks")
+    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+    if plan.isEmpty():
+        return spark.createDataFrame([], schema)
+    h = F.xxhash64(F.lit(3), "cls")
+    i, j = F.pmod(h, "lefts"), F.pmod(h, "rights")
+    as_left = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("rights") - 1), lambda x: F.struct(F.lit(True).alias("left"), i.alias("i"), x.alias("j")))
+    as_right = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("lefts") - 1), lambda x: F.struct(F.lit(False).alias("left"), x.alias("i"), j.alias("j")))
+    cells = F.when(F.col("root") == F.col("main"), as_right).otherwise(F.concat(as_left, as_right))
+    dealt = rooted.join(plan, "bucket").join(bags, "cls").select("bucket", "root", "bag", F.explode(cells).alias("cell")).select("bucket", "cell.i", "cell.j", "cell.left", "root", "bag")
+    share = round(similarity * 1000)
+
+    def compare(rows: pa.Table) -> pa.Table:
+        names = rows["root"].combine_chunks().dictionary_encode()
+        root, left = names.indices.to_numpy(), rows["left"].to_numpy().astype(bool)
+        lists = rows["bag"].combine_chunks()
+        flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+        bag = np.split(flat, ends[:-1])
+        l, r = np.flatnonzero(left), np.flatnonzero(~left)
+        found: list[tuple[int, int]] = []
+        if len(l) and len(r) and len(names.dictionary) > 1:
+            common = _common([bag[k] for k in l], [bag[k] for k in r])
+            size = lists.value_lengths().to_numpy().astype(np.int64)
+            enough = common * 1000 >= share * (size[l][:, None] + size[r][None, :] - common)
+            x, y = np.nonzero(enough & (root[l][:, None] != root[r][None, :]))
+            over = list(range(len(names.dictionary)))
+            for p, q in np.unique(np.stack([root[l][x], root[r][y]]), axis=1).T.tolist():
+                tops = []
+                for k in (p, q):
+                    while over[k] != k:
+                        over[k] = k = over[over[k]]
+                    tops.append(k)
+                if tops[0] != tops[1]:
+                    over[tops[0]] = tops[1]
+                    found.append((p, q))
+        pair = [names.dictionary.take(pa.array([f[k] for f in found], pa.int64())).cast(pa.binary()) for k in (0, 1)]
+        return pa.table(pair, ["a", "b"])
+
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, schema).distinct()
 
 
 def verified(pairs: DataFrame, bags: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -227,8 +311,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).withColumn("cls", F.unhex(F.md5("text")))
     sketched = written(sketch(texts, ["doc_id", "cls"], bands, rows, gram), "sketch")
-    classes = written(sketched.groupBy("cls").agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
-    pairs = written(candidate_pairs(classes), "pairs")
+    classes = written(sketched.groupBy("cls").agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.max("n").alias("grams")), "classes")
+    met = written(meetings(classes), "met")
+    pairs = written(candidate_pairs(met), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "doc_id"), "cls")
     wanted = needed.select("cls", F.col("doc_id").alias("__id"))
     chosen = texts.join(wanted.hint("shuffle_hash"), (texts["cls"] == wanted["cls"]) & texts["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
@@ -236,6 +321,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     roots = components(verified(pairs, bags, similarity))
     named = classes.select("cls", F.col("doc_id").alias("class_id"), "copies").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     named = written(named, "named")
+    rest = written(remaining_links(met, named.select("cls", "root"), bags, similarity), "rest")
+    if not rest.isEmpty():
+        beyond = components(rest).select(F.col("cls").alias("root"), F.col("root").alias("beyond"))
+        named = written(named.join(beyond, "root", "left").withColumn("root", F.coalesce("beyond", "root")).drop("beyond"), "named")
     groups = written(named.groupBy("root").agg(F.max("class_id").alias("group_id"), F.sum("copies").alias("group_size")), "roots")
     of_class = written(named.join(groups, "root").select("cls", "class_id", "group_id", "group_size"), "groups")
     counted = sketched.groupBy("cls", "doc_id").agg(F.count("*").alias("n")).join(of_class, "cls")

@@ -159,6 +159,33 @@ def test_near_dedup(spark):
     assert {9, 10}.isdisjoint(r.doc_id for r in left.collect()) and left.columns == table(spark).columns
 
 
+def edited_copies(n, first=1000, name="item", edits=4):
+    """An original (with the middle id) and n copies of it with so many words replaced: each at 0.8 or more to it, most pairs below."""
+    rng, words = np.random.default_rng(7), [f"{name}{i}" for i in range(200)]
+    out = [(first + n // 2, " ".join(words))]
+    for k in range(n):
+        at = set((rng.permutation(edits) * 50 + rng.integers(0, 45, edits)).tolist())
+        out.append((first + k + (k >= n // 2), " ".join(f"{name}new{k}x{i}" if i in at else w for i, w in enumerate(words))))
+    return out
+
+
+def groups_by_brute_force(texts):
+    group, members = brute_groups(texts), defaultdict(list)
+    for i, t in texts:
+        members[group[t or ""]].append(i)
+    return [(i, max(ids), len(ids)) for ids in members.values() for i in ids]
+
+
+def test_near_dedup_original_and_edited_copies(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 64, raising=False)
+    texts = edited_copies(300) + edited_copies(40, 5000, "other", 3) + [(i, t) for i, t in TEXTS if i in (9, 10, 11, 20)]
+    wanted = groups_by_brute_force(texts)
+    assert Counter(w[2] for w in wanted)[301] == 301
+    same(near_dedup.near_duplicates(table(spark, texts)), wanted, ["doc_id", "group_id", "group_size"])
+    left = near_dedup.drop_near_duplicates(table(spark, texts)).select("doc_id").collect()
+    assert sorted(r.doc_id for r in left) == sorted({w[1] for w in wanted})
+
+
 def test_bagminhash_estimates_weighted_jaccard():
     words = BASE.split()
     texts = [" ".join(words), " ".join(words[:150] + ["q"] * 90), " ".join(["q"] * 130 + words[60:]), "q " * 40, "a b"]
