@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import regex
 
+import corpus_pipeline
 from lotlens.llm import exact_dedup, line_dedup, near_dedup, queries, sharding, toxicity
 
 from .corpus import BASE, TEXTS, same, table
@@ -186,6 +187,18 @@ def test_near_dedup_original_and_edited_copies(spark, monkeypatch):
     assert sorted(r.doc_id for r in left) == sorted({w[1] for w in wanted})
 
 
+def test_pipeline_keeps_one_of_many_edited_copies(spark, tmp_path):
+    texts = [*edited_copies(120), *edited_copies(20, 5000, "other", 3), (1, "a lone text"), (2, "a lone text"), (3, "another text of its own")]
+    table(spark, texts).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows} == {keep for _, keep, _ in groups_by_brute_force(texts)} and len({r.doc_id for r in rows}) == 4
+    lengths = Counter()
+    for r in rows:
+        lengths[r.doc_id] += r.length
+    assert all(lengths[r.doc_id] == r.doc_tokens for r in rows)
+
+
 def test_bagminhash_estimates_weighted_jaccard():
     words = BASE.split()
     texts = [" ".join(words), " ".join(words[:150] + ["q"] * 90), " ".join(["q"] * 130 + words[60:]), "q " * 40, "a b"]
