@@ -304,11 +304,8 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("cls", "root")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id (equal texts), group_id (near duplicates), group_size, kept.
-
-    Both ids are the largest doc_id of the class or group, and that document stays.
-    """
+def _grouped(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per doc_id and class: cls, doc_id, n (rows), class_id, group_id, group_size, stays (one of its rows is the group's)."""
     texts = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).withColumn("cls", F.unhex(F.md5("text")))
     sketched = written(sketch(texts, ["doc_id", "cls"], bands, rows, gram), "sketch")
     classes = written(sketched.groupBy("cls").agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.max("n").alias("grams")), "classes")
@@ -325,16 +322,34 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     if not rest.isEmpty():
         beyond = components(rest).select(F.col("cls").alias("root"), F.col("root").alias("beyond"))
         named = written(named.join(beyond, "root", "left").withColumn("root", F.coalesce("beyond", "root")).drop("beyond"), "named")
-    groups = written(named.groupBy("root").agg(F.max("class_id").alias("group_id"), F.sum("copies").alias("group_size")), "roots")
-    of_class = written(named.join(groups, "root").select("cls", "class_id", "group_id", "group_size"), "groups")
+    groups = written(named.groupBy("root").agg(F.max(F.struct("class_id", "cls")).alias("lead"), F.sum("copies").alias("group_size")), "roots")
+    groups = groups.select("root", F.col("lead.class_id").alias("group_id"), F.col("lead.cls").alias("lead"), "group_size")
+    of_class = written(named.join(groups, "root").select("cls", "class_id", "group_id", "group_size", (F.col("cls") == F.col("lead")).alias("leads")), "groups")
     counted = sketched.groupBy("cls", "doc_id").agg(F.count("*").alias("n")).join(of_class, "cls")
-    out = counted.select("doc_id", "class_id", "group_id", "group_size", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("copy"))
-    kept = F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("class_id").eqNullSafe(F.col("group_id"))) & (F.col("copy") == 1)
-    return out.select("doc_id", "class_id", "group_id", "group_size", kept.alias("kept"))
+    return counted.withColumn("stays", F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id"))).drop("leads")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, class_id (equal texts), group_id (near duplicates), group_size, kept.
+
+    Both ids are the largest doc_id of the class or group, and that document stays; of several texts with
+    that id the one whose hash is largest.
+    """
+    counted = _grouped(docs, similarity, bands, rows, gram, id_col, text_col)
+    out = counted.select("doc_id", "class_id", "group_id", "group_size", "stays", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("copy"))
+    return out.select("doc_id", "class_id", "group_id", "group_size", (F.col("stays") & (F.col("copy") == 1)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group: those whose id :func:`near_duplicates` keeps."""
-    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    kept = groups.filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    """``docs`` with one document of each group: the row :func:`near_duplicates` keeps, found by id and text."""
+    stay = _grouped(docs, id_col=id_col, text_col=text_col, **options).filter("stays")
+    stay = written(stay.select(F.col("doc_id").alias("__id"), F.col("cls").alias("__cls"), (F.col("n") > 1).alias("__repeated")), "stay")
+    keyed = docs.withColumn("__text_cls", F.unhex(F.md5(whole(text_col))))
+
+    def rows(keys: DataFrame) -> DataFrame:
+        return keyed.join(keys, (F.col("__text_cls") == F.col("__cls")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+
+    out, repeated = rows(stay.filter("NOT __repeated")), stay.filter("__repeated")
+    if not repeated.isEmpty():  # rows with one id and text: any of them
+        out = out.unionByName(rows(repeated).withColumn("__key_id", F.col(id_col)).dropDuplicates(["__text_cls", "__key_id"]).drop("__key_id"))
+    return out.drop("__text_cls")

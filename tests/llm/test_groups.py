@@ -187,6 +187,17 @@ def test_near_dedup_original_and_edited_copies(spark, monkeypatch):
     assert sorted(r.doc_id for r in left) == sorted({w[1] for w in wanted})
 
 
+def test_near_dedup_null_and_repeated_ids(spark):
+    near = [BASE.replace("term5 ", f"zzz{k} ") for k in range(3)]
+    texts = [(None, near[0]), (None, near[1]), (None, "alone one two three four five"), (7, near[2].replace("term", "word")), (7, near[1].replace("term", "word")), (7, "other text"), (7, "other text")]
+    rows = near_dedup.near_duplicates(table(spark, texts)).collect()
+    assert len(rows) == 7 and sum(r.kept for r in rows) == 4
+    left = [(r.doc_id, r.text) for r in near_dedup.drop_near_duplicates(table(spark, texts)).collect()]
+    assert len(left) == 4 and set(left) <= set(texts)
+    group = brute_groups(texts)
+    assert Counter(group[t] for _, t in left) == Counter(set(group.values()))
+
+
 def test_pipeline_keeps_one_of_many_edited_copies(spark, tmp_path):
     texts = [*edited_copies(120), *edited_copies(20, 5000, "other", 3), (1, "a lone text"), (2, "a lone text"), (3, "another text of its own")]
     table(spark, texts).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
