@@ -2,49 +2,53 @@
 
 A word is a string with one character for each token so far, at first one for each byte. A literal
 rank map, dealt into buckets because Spark searches a map from its start, gives for two neighbouring
-tokens the merged one; the fold merges the lowest-ranked pair (everywhere in the word at once: a pair
-that a merge creates has a higher rank) until none is left. Token i is the character i + 256, which
-keeps the order of ranks under comparison and stays below the surrogates.
+tokens the merged one. The fold merges the lowest-ranked pair, the leftmost of equals, until none is
+left. Token i is the character i + 256, which keeps the order of ranks under comparison and stays below
+the surrogates.
 
-Distinct words are folded once: all words of the table are counted, and those frequent enough to fit
-in ``DICTIONARY_WORDS`` (a fixed bound; the least count is found from a histogram) form a dictionary of
-proven size that every task holds. Tasks encode by look-up and list the words that the dictionary lacks,
-which the same fold then encodes in their row. No text is shuffled. Decoding concatenates the binary
-pieces of the ids.
+Tasks split their documents into words, number the distinct words of a block of documents (about
+``BLOCK_CHARS`` characters, a document at least) and write each document as word numbers. The block's
+distinct words are folded once and the numbers replaced by their ids. Everything is narrow: nothing is
+shuffled, broadcast or sent to the driver, and a lost executor costs its own tasks only. The blocks'
+distinct words grow with the texts, so the work stays in proportion to the input.
+
+All occurrences of the lowest pair are merged in one step, which saves steps for words of many equal
+letters. That equals one at a time from the left unless a merge can lead to a pair of lower rank or an
+overlapping pair gives the same token; :func:`careful` lists the merged tokens for which the rank table
+allows that, and those are merged one at a time. Words of more than ``LONGEST_WHOLE`` characters are cut
+between bytes that stand side by side in no token, which no merge can cross.
+
+Decoding concatenates the binary pieces of the ids.
 
 Edge cases: null text counts as empty and has no ids; repeated rows are encoded once each; null ids are
-carried; words of any length are folded whole; an empty table gives an empty result; extra columns are
-ignored.
+carried; texts and words of any length are encoded whole (a block holds the numbers of one text at
+least, four bytes a word); an empty table gives an empty result; extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import let, vocabulary, whole, written
+from .base import let, vocabulary, whole
 from .token_counts import rank_table
 
-DICTIONARY_WORDS = 1 << 19
-LONGEST_WORD = 64
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 SHIFT = 256
-GAP = chr(0xE000)
-BATCH_ROWS = 256
-#: White space as the split pattern means it, spelt out for Java's expressions.
-SPACE = r"\t-\r \x85\xA0  -     　"
-
-
-def java_pattern(pattern: str) -> str:
-    r"""The split pattern with \s and \S spelt out, since Java's mean ASCII only."""
-    return pattern.replace(r"[^\s\p", rf"[^{SPACE}\p").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
+BLOCK_CHARS = 32_000_000
+LONGEST_WHOLE = 64
+OUT_WORDS = 200_000  # words whose ids are put together at a time
 
 
 def merges(ranks: dict[bytes, int]) -> dict[str, str]:
@@ -58,11 +62,28 @@ def merges(ranks: dict[bytes, int]) -> dict[str, str]:
     return out
 
 
+def careful(pairs: dict[str, str]) -> set[str]:
+    """Merged tokens whose pairs may not be merged all at once.
+
+    Either the token belongs to a pair of lower rank, or two of its own pairs can share a token.
+    """
+    out = {part for pair, merged in pairs.items() for part in pair if part > merged}
+    splits: dict[str, list[str]] = {}
+    for pair, merged in pairs.items():
+        splits.setdefault(merged, []).append(pair)
+    for merged, own in splits.items():
+        if len(own) > 1 and {p[0] for p in own} & {p[1] for p in own}:
+            out.add(merged)
+    return out
+
+
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The merge table as one constant: buckets of maps from a pair to the merged character and the pair."""
+    """The merge table as one constant: buckets of maps from a pair to the merged character and 1 (careful) or 0."""
+    pairs = merges(ranks)
+    one_by_one = careful(pairs)
     buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
-    for pair, merged in merges(ranks).items():
-        buckets[zlib.crc32(pair.encode()) % BUCKETS][pair] = merged + pair
+    for pair, merged in pairs.items():
+        buckets[zlib.crc32(pair.encode()) % BUCKETS][pair] = merged + ("1" if merged in one_by_one else "0")
     return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,string>>")
 
 
@@ -72,96 +93,116 @@ def fold_word(word: Column, ranks: dict[bytes, int], table: Column | None = None
     single = "".join(chr(ranks[bytes([b])] + SHIFT) for b in range(256))
     start = F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), "".join(map(chr, range(256))), single)
 
-    def merged(tokens: Column, i: Column) -> Column:
-        pair = F.substring(tokens, i, F.lit(2))
+    def merged(pair: Column) -> Column:
         return F.get(table, F.pmod(F.crc32(pair.cast("binary")), F.lit(BUCKETS)).cast("int"))[pair]
 
+    def after(tokens: Column, found: Column) -> Column:
+        def once(best: Column) -> Column:
+            at, token = F.array_position(found, best).cast("int"), F.substring(best, 1, 1)
+            joined = F.when(F.endswith(best, F.lit("1")), F.overlay(tokens, token, at, F.lit(2))).otherwise(F.replace(tokens, F.substring(tokens, at, F.lit(2)), token))
+            return F.struct(F.when(best.isNull(), tokens).otherwise(joined).alias("tokens"), best.isNull().alias("done"))
+
+        return let(F.array_min(found), once)
+
     def step(acc: Column, _: Column) -> Column:
         tokens = acc["tokens"]
-        best = F.array_min(F.transform(F.sequence(F.lit(1), F.char_length(tokens) - 1), lambda i: merged(tokens, i)))
-        after = let(best, lambda b: F.struct(F.coalesce(F.replace(tokens, F.substring(b, F.lit(2), F.lit(2)), F.substring(b, F.lit(1), F.lit(1))), tokens).alias("tokens"), b.isNull().alias("done")))
-        return F.when(acc["done"] | (F.char_length(tokens) < 2), acc).otherwise(after)
+        pairs = F.transform(F.sequence(F.lit(1), F.char_length(tokens) - 1), lambda i: merged(F.substring(tokens, i, F.lit(2))))
+        return F.when(acc["done"] | (F.char_length(tokens) < 2), acc).otherwise(let(pairs, lambda found: after(tokens, found)))
 
     zero = F.struct(start.alias("tokens"), F.lit(False).alias("done"))
     return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), zero, step)["tokens"]
 
 
-def word_counts(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
-    words = docs.select(F.explode(F.regexp_extract_all(whole(text_col), F.lit(java_pattern(pattern)), F.lit(0))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n"))
+def crossings(ranks: dict[bytes, int]) -> np.ndarray:
+    """For first * 256 + second byte: whether a token has them side by side."""
+    out = np.zeros(1 << 16, bool)
+    for token in ranks:
+        raw = np.frombuffer(token, np.uint8).astype(np.int64)
+        out[raw[:-1] * 256 + raw[1:]] = True
+    return out
 
 
-def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, limit: int = DICTIONARY_WORDS, text_col: str = "text") -> pa.Table:
-    """(word, tokens) of the most frequent distinct words, ``limit`` at most, each folded once."""
-    counted = written(word_counts(docs, pattern, text_col).filter(F.octet_length("word") <= LONGEST_WORD), "words")
-    # counts above 1000 share one bar, so the histogram has at most 1000 rows
-    bars = {r["c"]: r["words"] for r in counted.groupBy(F.least("n", F.lit(1000)).alias("c")).agg(F.count("*").alias("words")).collect()}
-    least, total = 1001, 0
-    for c in sorted(bars, reverse=True):
-        if total + bars[c] > limit:
-            break
-        least, total = c, total + bars[c]
-    frequent = counted.filter(F.col("n") >= least) if total else counted.orderBy(F.desc("n"), "word").limit(limit)
-    return frequent.repartition(max(1, -(-(total or limit) // 20_000))).select("word", fold_word(F.col("word"), ranks).alias("tokens")).toArrow()
+def pieces(word: str, crossed: np.ndarray) -> list[str]:
+    """The word, cut between characters whose neighbouring bytes are side by side in no token."""
+    raw = np.frombuffer(word.encode(), np.uint8).astype(np.int64)
+    cut = ~crossed[raw[:-1] * 256 + raw[1:]] & (raw[1:] & 0xC0 != 0x80)
+    ends = [*(np.flatnonzero(cut) + 1).tolist(), len(raw)]
+    data = raw.astype(np.uint8).tobytes()
+    return [data[i:j].decode() for i, j in zip([0, *ends], ends)]
 
 
-_LOADED: dict[int, dict[str, str]] = {}
+def _numbered(pattern: str, crossed: np.ndarray, schema: T.StructType, block_chars: int):
+    """Batches of documents to a row for each block: ids of documents, word numbers and words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        find = regex.compile(pattern).findall
+        words, held, codes, size = defaultdict(count().__next__), [], [], 0
+
+        def block() -> pa.RecordBatch:
+            ids = pa.concat_arrays(held)
+            stops = np.cumsum([0, *map(len, codes)], dtype=np.int64)
+            row = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
+            row += [pa.array([stops.tobytes()], pa.binary()), pa.array([np.concatenate(codes).tobytes()], pa.binary()), pa.array([list(words)], pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays(row, schema.names)
 
-def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, limit: int = DICTIONARY_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        for batch in batches:
+            begin = 0
+            for i, text in enumerate(batch["text"]):
+                text = text.as_py()
+                found = find(text)
+                if len(text) > LONGEST_WHOLE and len(max(found, key=len)) > LONGEST_WHOLE:
+                    found = [x for w in found for x in (pieces(w, crossed) if len(w) > LONGEST_WHOLE else (w,))]
+                codes.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
+                size += len(text)
+                if size >= block_chars:
+                    held.append(batch["doc_id"].slice(begin, i + 1 - begin))
+                    yield block()
+                    words, held, codes, size, begin = defaultdict(count().__next__), [], [], 0, i + 1
+            if begin < batch.num_rows:
+                held.append(batch["doc_id"].slice(begin))
+        if codes:
+            yield block()
+
+    return run
+
+
+def _spliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block, words folded, to a row for each document with its ids."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            row = batch.slice(r, 1)
+            tokens = row["tokens"].flatten()
+            sizes = pc.utf8_length(tokens).to_numpy().astype(np.int64)
+            flat = np.frombuffer("".join(tokens.to_pylist()).encode("utf-16-le"), "<u2")
+            first = np.cumsum(sizes) - sizes
+            stops, codes, ids = np.frombuffer(row["stops"][0].as_buffer(), np.int64), np.frombuffer(row["codes"][0].as_buffer(), np.int32), row["ids"].flatten()
+            at = 0
+            while at < len(ids):
+                to = max(at + 1, int(np.searchsorted(stops, stops[at] + OUT_WORDS, "right")) - 1)
+                part = codes[stops[at] : stops[to]]
+                n = sizes[part]
+                ends = np.cumsum(n)
+                values = flat[np.arange(ends[-1] if len(n) else 0) + np.repeat(first[part] - (ends - n), n)].astype(np.int32) - SHIFT
+                edges = np.concatenate([[0], ends])[stops[at : to + 1] - stops[at]].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([ids.slice(at, to - at), pa.ListArray.from_arrays(pa.array(edges), pa.array(values))], ["doc_id", "ids"])
+                at = to
+
+
+def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int), the ids of the whole text."""
     if pattern is None:
         import public_tokenizers
 
         pattern = public_tokenizers.PATTERN
     ranks = rank_table(ranks_path or vocabulary("byte_bpe_multi_50k.tiktoken"))
-    table = dictionary(docs, ranks, pattern, limit, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast([table["word"].to_pylist(), table["tokens"].to_pylist()])
     kind = docs.schema[id_col].dataType
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        if id(shared.value) not in _LOADED:
-            _LOADED.clear()
-            _LOADED[id(shared.value)] = dict(zip(*shared.value, strict=True))
-        get, find = _LOADED[id(shared.value)].get, regex.compile(pattern).findall
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
-                known, unknown = [], []
-                for text in part["text"].to_pylist():
-                    words = find(text)
-                    tokens, rare = list(map(get, words)), []
-                    if None in tokens:
-                        for i, t in enumerate(tokens):
-                            if t is None:
-                                tokens[i] = GAP
-                                rare.append(words[i])
-                    known.append("".join(tokens))
-                    unknown.append(rare)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(known, pa.string()), pa.array(unknown, pa.list_(pa.string()))], ["doc_id", "known", "rare"])
-
-    def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
-                rows = []
-                for known, rare in zip(part["known"].to_pylist(), part["rare"].to_pylist(), strict=True):
-                    if rare:
-                        pieces = known.split(GAP)
-                        known = "".join([x for pair in zip(pieces, [*rare, ""], strict=True) for x in pair])
-                    rows.append(np.frombuffer(known.encode("utf-16-le"), "<u2").astype(np.int32) - SHIFT)
-                stops = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(stops), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], ids], ["doc_id", "ids"])
-
-    looked = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).mapInArrow(
-        look_up, T.StructType([T.StructField("doc_id", kind), T.StructField("known", T.StringType()), T.StructField("rare", T.ArrayType(T.StringType()))])
-    )
-    rank_map = rank_literal(ranks)
-    folded = looked.select("doc_id", "known", F.transform("rare", lambda w: fold_word(w, ranks, rank_map)).alias("rare"))
-    return folded.mapInArrow(splice, T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    numbered = T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("stops", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))])
+    blocks = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).mapInArrow(_numbered(pattern, crossings(ranks), numbered, block_chars), numbered)
+    table = rank_literal(ranks)
+    folded = blocks.select("ids", "stops", "codes", F.transform("words", lambda w: fold_word(w, ranks, table)).alias("tokens"))
+    return folded.mapInArrow(_spliced, T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(ids: Column, ranks_path: str | None = None) -> Column:

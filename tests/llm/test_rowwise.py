@@ -136,22 +136,74 @@ def holds(query, text):
     return query is None or (query in text if isinstance(query, str) else (all if query[0] == "and" else any)(holds(q, text) for q in query[1]))
 
 
-@pytest.mark.parametrize("limit", [5, 1 << 20])
-def test_byte_bpe(spark, limit):
+@pytest.mark.parametrize("block_chars", [1, 20_000, byte_bpe.BLOCK_CHARS])
+def test_byte_bpe(spark, block_chars):
     import public_tokenizers
     import tiktoken
 
     encoding = tiktoken.Encoding("r", pat_str=public_tokenizers.PATTERN, mergeable_ranks=token_counts.rank_table(vocabulary("byte_bpe_multi_50k.tiktoken")), special_tokens={})
-    got = byte_bpe.encode(table(spark), limit=limit)
+    got = byte_bpe.encode(table(spark), block_chars=block_chars)
     same(got.selectExpr("doc_id", "array_join(ids, ',') AS ids"), [(i, ",".join(map(str, encoding.encode_ordinary(t or "")))) for i, t in TEXTS], ["doc_id", "ids"])
     back = got.select("doc_id", byte_bpe.decode(got["ids"]).alias("raw"))
     same(back, [(i, bytearray((t or "").encode())) for i, t in TEXTS], ["doc_id", "raw"])
-    if limit > 5:
+    if block_chars == byte_bpe.BLOCK_CHARS:
         wanted = [(i, len(e), sha(",".join(map(str, e))), sha(t)) for i, t in texts(spark) for e in [encoding.encode_ordinary(t)]]
         same(queries.op5_byte_bpe(spark, SMALL), wanted, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         assert byte_bpe.encode(table(spark, [])).count() == 0
 
 
+def one_by_one(word: bytes, ranks):
+    """Merge the lowest pair, the leftmost of equals, until none is left."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while True:
+        found = [(ranks[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_fold_follows_any_rank_table(spark):
+    """Ranks in which parts rank above the whole, and pairs of one token overlap."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abc"), rng.integers(1, 14))) for _ in range(400)]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").coalesce(1)
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        longer = sorted({"".join(rng.choice(list("abc"), rng.integers(2, 6))).encode() for _ in range(60)})
+        rng.shuffle(longer)
+        ranks = {bytes([b]): b for b in range(256)} | {t: 256 + i for i, t in enumerate(longer)}
+        folded = {r.w: [ord(c) - byte_bpe.SHIFT for c in r.t] for r in rows.select("w", byte_bpe.fold_word(rows["w"], ranks).alias("t")).collect()}
+        assert folded == {w: one_by_one(w.encode(), ranks) for w in words}
+        assert byte_bpe.careful(byte_bpe.merges(ranks))
+
+
+def test_every_token_of_the_vocabulary_is_reached(spark):
+    """The library gives a word that is a token that token; merges must come to the same."""
+    ranks = token_counts.rank_table(vocabulary("byte_bpe_multi_50k.tiktoken"))
+    tokens = spark.createDataFrame([(t, r) for t, r in ranks.items()], "w binary, r int")
+    got = tokens.select("r", byte_bpe.fold_word(tokens["w"], ranks).alias("t"))
+    assert got.filter("char_length(t) <> 1").count() == 0
+    assert all(ord(r.t) - byte_bpe.SHIFT == r.r for r in got.collect())
+
+
+def test_long_words_are_cut_where_no_merge_crosses(spark):
+    import public_tokenizers
+    import tiktoken
+
+    ranks = token_counts.rank_table(vocabulary("byte_bpe_multi_50k.tiktoken"))
+    rng = np.random.default_rng(2)
+    long = [
+        "a" * 3_000, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 300)),
+        "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 1_000))), "=-" * 500 + "!" * 99, "é" * 1_000, "qzj" * 300,
+    ]
+    crossed = byte_bpe.crossings(ranks)
+    assert all("".join(byte_bpe.pieces(w, crossed)) == w for w in long)
+    encoding = tiktoken.Encoding("r", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    wanted = [(i, encoding.encode_ordinary(t)) for i, t in enumerate(long)]
+    same(byte_bpe.encode(table(spark, list(enumerate(long)))), wanted, ["doc_id", "ids"])
+
+
 def check_packing(pieces, wanted):
     """``wanted``: (doc_id, ids) of every row; ids may repeat."""
     from collections import Counter, defaultdict
