@@ -29,14 +29,13 @@ their names.
 from __future__ import annotations
 
 import json
-import zlib
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,8 +43,9 @@ from pyspark.sql import types as T
 from .base import let, vocabulary, whole
 from .token_counts import rank_table
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 15
 SHIFT = 256
+DONE = "\x01"  # before the tokens of a word that has no pair left
 BLOCK_CHARS = 32_000_000
 LONGEST_WHOLE = 64
 OUT_WORDS = 200_000  # words whose ids are put together at a time
@@ -77,13 +77,18 @@ def careful(pairs: dict[str, str]) -> set[str]:
     return out
 
 
+def _bucket(pair: str) -> int:
+    """The bucket of a pair, as ``xxhash64(pair) & (BUCKETS - 1)`` gives it in Spark."""
+    return xxhash.xxh64_intdigest(pair.encode(), seed=42) % BUCKETS
+
+
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The merge table as one constant: buckets of maps from a pair to the merged character and 1 (careful) or 0."""
+    """The merge table as one constant: buckets of maps from a pair to the merged character, 1 (careful) or 0, and the pair."""
     pairs = merges(ranks)
     one_by_one = careful(pairs)
     buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
     for pair, merged in pairs.items():
-        buckets[zlib.crc32(pair.encode()) % BUCKETS][pair] = merged + ("1" if merged in one_by_one else "0")
+        buckets[_bucket(pair)][pair] = merged + ("1" if merged in one_by_one else "0") + pair
     return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,string>>")
 
 
@@ -94,23 +99,24 @@ def fold_word(word: Column, ranks: dict[bytes, int], table: Column | None = None
     start = F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), "".join(map(chr, range(256))), single)
 
     def merged(pair: Column) -> Column:
-        return F.get(table, F.pmod(F.crc32(pair.cast("binary")), F.lit(BUCKETS)).cast("int"))[pair]
+        return F.get(table, F.xxhash64(pair).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))[pair]
 
-    def after(tokens: Column, found: Column) -> Column:
-        def once(best: Column) -> Column:
-            at, token = F.array_position(found, best).cast("int"), F.substring(best, 1, 1)
-            joined = F.when(F.endswith(best, F.lit("1")), F.overlay(tokens, token, at, F.lit(2))).otherwise(F.replace(tokens, F.substring(tokens, at, F.lit(2)), token))
-            return F.struct(F.when(best.isNull(), tokens).otherwise(joined).alias("tokens"), best.isNull().alias("done"))
+    def step(tokens: Column, _: Column) -> Column:
+        places = F.sequence(F.lit(1), F.char_length(tokens) - 1)
 
-        return let(F.array_min(found), once)
+        def after(found: Column, best: Column) -> Column:
+            token = F.substring(best, 1, 1)
+            # built-in array_position is slow where it finds something, and only few tokens need the place
+            first = F.get(F.filter(places, lambda i: F.startswith(F.get(found, i - 1), token)), F.lit(0))
+            one, every = F.overlay(tokens, token, first, F.lit(2)), F.replace(tokens, F.substring(best, 3, 2), token)
+            return F.when(best.isNull(), F.concat(F.lit(DONE), tokens)).when(F.substring(best, 2, 1) == "1", one).otherwise(every)
 
-    def step(acc: Column, _: Column) -> Column:
-        tokens = acc["tokens"]
-        pairs = F.transform(F.sequence(F.lit(1), F.char_length(tokens) - 1), lambda i: merged(F.substring(tokens, i, F.lit(2))))
-        return F.when(acc["done"] | (F.char_length(tokens) < 2), acc).otherwise(let(pairs, lambda found: after(tokens, found)))
+        found = F.transform(places, lambda i: merged(F.substring(tokens, i, F.lit(2))))
+        ended = F.startswith(tokens, F.lit(DONE)) | (F.char_length(tokens) < 2)
+        return F.when(ended, tokens).otherwise(let(found, lambda f: let(F.array_min(f), lambda best: after(f, best))))
 
-    zero = F.struct(start.alias("tokens"), F.lit(False).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), zero, step)["tokens"]
+    folded = F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start, step)
+    return F.replace(folded, F.lit(DONE), F.lit(""))
 
 
 def crossings(ranks: dict[bytes, int]) -> np.ndarray:
@@ -131,6 +137,16 @@ def pieces(word: str, crossed: np.ndarray) -> list[str]:
     return [data[i:j].decode() for i, j in zip([0, *ends], ends)]
 
 
+class Numbers(dict):
+    """Words to numbers in order of appearance; words of more than ``LONGEST_WHOLE`` characters have none."""
+
+    def __missing__(self, word: str) -> int:
+        if len(word) > LONGEST_WHOLE:
+            return -1
+        self[word] = out = len(self)
+        return out
+
+
 def _numbered(pattern: str, crossed: np.ndarray, schema: T.StructType, block_chars: int):
     """Batches of documents to a row for each block: ids of documents, word numbers and words."""
 
@@ -138,7 +154,7 @@ def _numbered(pattern: str, crossed: np.ndarray, schema: T.StructType, block_cha
         import regex
 
         find = regex.compile(pattern).findall
-        words, held, codes, size = defaultdict(count().__next__), [], [], 0
+        words, held, codes, size = Numbers(), [], [], 0
 
         def block() -> pa.RecordBatch:
             ids = pa.concat_arrays(held)
@@ -152,14 +168,16 @@ def _numbered(pattern: str, crossed: np.ndarray, schema: T.StructType, block_cha
             for i, text in enumerate(batch["text"]):
                 text = text.as_py()
                 found = find(text)
-                if len(text) > LONGEST_WHOLE and len(max(found, key=len)) > LONGEST_WHOLE:
-                    found = [x for w in found for x in (pieces(w, crossed) if len(w) > LONGEST_WHOLE else (w,))]
-                codes.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
+                row = np.fromiter(map(words.__getitem__, found), np.int32, len(found))
+                if len(row) and row.min() < 0:
+                    parts = [x for w in found for x in (pieces(w, crossed) if len(w) > LONGEST_WHOLE else (w,))]
+                    row = np.array([words.setdefault(w, len(words)) for w in parts], np.int32)
+                codes.append(row)
                 size += len(text)
                 if size >= block_chars:
                     held.append(batch["doc_id"].slice(begin, i + 1 - begin))
                     yield block()
-                    words, held, codes, size, begin = defaultdict(count().__next__), [], [], 0, i + 1
+                    words, held, codes, size, begin = Numbers(), [], [], 0, i + 1
             if begin < batch.num_rows:
                 held.append(batch["doc_id"].slice(begin))
         if codes:
@@ -175,7 +193,7 @@ def _spliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = batch.slice(r, 1)
             tokens = row["tokens"].flatten()
             sizes = pc.utf8_length(tokens).to_numpy().astype(np.int64)
-            flat = np.frombuffer("".join(tokens.to_pylist()).encode("utf-16-le"), "<u2")
+            flat = np.frombuffer(pc.binary_join(row["tokens"], "")[0].as_py().encode("utf-16-le"), "<u2")
             first = np.cumsum(sizes) - sizes
             stops, codes, ids = np.frombuffer(row["stops"][0].as_buffer(), np.int64), np.frombuffer(row["codes"][0].as_buffer(), np.int32), row["ids"].flatten()
             at = 0
@@ -190,36 +208,62 @@ def _spliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = to
 
 
-def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (array of int), the ids of the whole text."""
+def _folded(docs: DataFrame, ranks: dict[bytes, int], pattern: str | None, block_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """A row for each block of documents: ids, stops, codes and the tokens of its distinct words."""
     if pattern is None:
         import public_tokenizers
 
         pattern = public_tokenizers.PATTERN
-    ranks = rank_table(ranks_path or vocabulary("byte_bpe_multi_50k.tiktoken"))
-    kind = docs.schema[id_col].dataType
-    numbered = T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("stops", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))])
+    numbered = T.StructType(
+        [T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)), T.StructField("stops", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))]
+    )
     blocks = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).mapInArrow(_numbered(pattern, crossings(ranks), numbered, block_chars), numbered)
     table = rank_literal(ranks)
-    folded = blocks.select("ids", "stops", "codes", F.transform("words", lambda w: fold_word(w, ranks, table)).alias("tokens"))
-    return folded.mapInArrow(_spliced, T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return blocks.select("ids", "stops", "codes", F.transform("words", lambda w: fold_word(w, ranks, table)).alias("tokens"))
 
 
-def decode(ids: Column, ranks_path: str | None = None) -> Column:
-    """The bytes of an array of ids: the tokens' binary pieces, concatenated as hexadecimal and read back."""
+def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and ids (array of int), the ids of the whole text."""
     ranks = rank_table(ranks_path or vocabulary("byte_bpe_multi_50k.tiktoken"))
-    pieces = [""] * (max(ranks.values()) + 1)
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return _folded(docs, ranks, pattern, block_chars, id_col, text_col).mapInArrow(_spliced, schema)
+
+
+def piece_table(path: str) -> list[bytes]:
+    """The bytes of each id; ids without a token have none."""
+    ranks = rank_table(path)
+    pieces = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        pieces[rank] = token.hex()
-    table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
-
-
-def digests(docs: DataFrame) -> DataFrame:
-    coded = encode(docs)
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids")), 256).alias("decoded_sha256"),
-    )
+        pieces[rank] = token
+    return pieces
+
+
+def decode(coded: DataFrame, ranks_path: str | None = None) -> DataFrame:
+    """doc_id and raw, the bytes of each row's ids (null: none): the ids' binary pieces, concatenated."""
+    path = ranks_path or vocabulary("byte_bpe_multi_50k.tiktoken")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = piece_table(path).__getitem__
+        for batch in batches:
+            raw = [b"".join(map(pieces, ids or ())) for ids in (x.as_py() for x in batch["ids"])]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(raw, pa.binary())], ["doc_id", "raw"])
+
+    return coded.select("doc_id", "ids").mapInArrow(run, T.StructType([coded.schema["doc_id"], T.StructField("raw", T.BinaryType())]))
+
+
+def digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of the ids and of what they decode to, in the task that puts them together."""
+    path = ranks_path or vocabulary("byte_bpe_multi_50k.tiktoken")
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = piece_table(path)
+        pieces, decimals = table.__getitem__, [str(i).encode() for i in range(len(table))].__getitem__
+        for batch in _spliced(batches):
+            flat, stops = batch["ids"].values.to_pylist(), batch["ids"].offsets.to_pylist()
+            rows = [flat[i:j] for i, j in zip(stops, stops[1:])]
+            digest = lambda glue, of: pa.array([sha256(glue.join(map(of, ids))).hexdigest() for ids in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(list(map(len, rows)), pa.int64()), digest(b",", decimals), digest(b"", pieces)], names)
+
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return _folded(docs, rank_table(path), None, BLOCK_CHARS, "doc_id", "text").mapInArrow(run, schema)
