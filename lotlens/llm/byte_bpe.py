@@ -29,6 +29,7 @@ their names.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -147,13 +148,36 @@ class Numbers(dict):
         return out
 
 
-def _numbered(pattern: str, crossed: np.ndarray, schema: T.StructType, block_chars: int):
+#: The public split pattern for text of Latin-1 characters alone, with letters, numbers and white space spelt out.
+_LETTERS, _NUMBERS, _BLANKS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \x85\xa0"
+LATIN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]++| ?[{_NUMBERS}]++| ?[^{_BLANKS}{_LETTERS}{_NUMBERS}]++|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+"
+
+
+def splitter(pattern: str | None):
+    """The function from a text to its words; the public pattern is matched twice as fast in Latin-1 text."""
+    import regex
+
+    if pattern is not None:
+        return regex.compile(pattern).findall
+    import public_tokenizers
+
+    latin, full = re.compile(LATIN).findall, regex.compile(public_tokenizers.PATTERN).findall
+
+    def split(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return full(text)
+        return latin(text)
+
+    return split
+
+
+def _numbered(pattern: str | None, crossed: np.ndarray, schema: T.StructType, block_chars: int):
     """Batches of documents to a row for each block: ids of documents, word numbers and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find = regex.compile(pattern).findall
+        find = splitter(pattern)
         words, held, codes, size = Numbers(), [], [], 0
 
         def block() -> pa.RecordBatch:
@@ -186,23 +210,25 @@ def _numbered(pattern: str, crossed: np.ndarray, schema: T.StructType, block_cha
     return run
 
 
+def _opened(row: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's ids of documents, stops and codes of their words, all words' ids in a row, and how many each word has."""
+    sizes = pc.utf8_length(row["tokens"].flatten()).to_numpy().astype(np.int64)
+    flat = np.frombuffer(pc.binary_join(row["tokens"], "")[0].as_py().encode("utf-16-le"), "<u2").astype(np.int32) - SHIFT
+    return row["ids"].flatten(), np.frombuffer(row["stops"][0].as_buffer(), np.int64), np.frombuffer(row["codes"][0].as_buffer(), np.int32), flat, sizes
+
+
 def _spliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each block, words folded, to a row for each document with its ids."""
     for batch in batches:
         for r in range(batch.num_rows):
-            row = batch.slice(r, 1)
-            tokens = row["tokens"].flatten()
-            sizes = pc.utf8_length(tokens).to_numpy().astype(np.int64)
-            flat = np.frombuffer(pc.binary_join(row["tokens"], "")[0].as_py().encode("utf-16-le"), "<u2")
-            first = np.cumsum(sizes) - sizes
-            stops, codes, ids = np.frombuffer(row["stops"][0].as_buffer(), np.int64), np.frombuffer(row["codes"][0].as_buffer(), np.int32), row["ids"].flatten()
-            at = 0
+            ids, stops, codes, flat, sizes = _opened(batch.slice(r, 1))
+            first, at = np.cumsum(sizes) - sizes, 0
             while at < len(ids):
                 to = max(at + 1, int(np.searchsorted(stops, stops[at] + OUT_WORDS, "right")) - 1)
                 part = codes[stops[at] : stops[to]]
                 n = sizes[part]
                 ends = np.cumsum(n)
-                values = flat[np.arange(ends[-1] if len(n) else 0) + np.repeat(first[part] - (ends - n), n)].astype(np.int32) - SHIFT
+                values = flat[np.arange(ends[-1] if len(n) else 0) + np.repeat(first[part] - (ends - n), n)]
                 edges = np.concatenate([[0], ends])[stops[at : to + 1] - stops[at]].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([ids.slice(at, to - at), pa.ListArray.from_arrays(pa.array(edges), pa.array(values))], ["doc_id", "ids"])
                 at = to
@@ -210,10 +236,6 @@ def _spliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _folded(docs: DataFrame, ranks: dict[bytes, int], pattern: str | None, block_chars: int, id_col: str, text_col: str) -> DataFrame:
     """A row for each block of documents: ids, stops, codes and the tokens of its distinct words."""
-    if pattern is None:
-        import public_tokenizers
-
-        pattern = public_tokenizers.PATTERN
     numbered = T.StructType(
         [T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)), T.StructField("stops", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))]
     )
@@ -252,18 +274,33 @@ def decode(coded: DataFrame, ranks_path: str | None = None) -> DataFrame:
 
 
 def digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of the ids and of what they decode to, in the task that puts them together."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document's ids and of what they decode to.
+
+    Ids are written out and decoded once for each distinct word of a block; a document's text of ids and its
+    bytes are its words' ones, concatenated.
+    """
     path = ranks_path or vocabulary("byte_bpe_multi_50k.tiktoken")
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = piece_table(path)
-        pieces, decimals = table.__getitem__, [str(i).encode() for i in range(len(table))].__getitem__
-        for batch in _spliced(batches):
-            flat, stops = batch["ids"].values.to_pylist(), batch["ids"].offsets.to_pylist()
-            rows = [flat[i:j] for i, j in zip(stops, stops[1:])]
-            digest = lambda glue, of: pa.array([sha256(glue.join(map(of, ids))).hexdigest() for ids in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(list(map(len, rows)), pa.int64()), digest(b",", decimals), digest(b"", pieces)], names)
+        pieces = piece_table(path)
+        decimals = [str(i).encode() for i in range(len(pieces))]
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, stops, codes, flat, sizes = _opened(batch.slice(r, 1))
+                ends = np.cumsum(sizes)
+                spans = list(zip((ends - sizes).tolist(), ends.tolist()))
+                tokens = flat.tolist()
+                per_word = lambda glue, table: [glue.join([table[t] for t in tokens[i:j]]) for i, j in spans].__getitem__
+                written, decoded = per_word(b",", decimals), per_word(b"", pieces)
+                counts, one, two = [], [], []
+                for start, stop in zip(stops[:-1].tolist(), stops[1:].tolist()):
+                    row = codes[start:stop]
+                    counts.append(int(sizes[row].sum()))
+                    row = row.tolist()
+                    one.append(sha256(b",".join(map(written, row))).hexdigest())
+                    two.append(sha256(b"".join(map(decoded, row))).hexdigest())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], names)
 
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     return _folded(docs, rank_table(path), None, BLOCK_CHARS, "doc_id", "text").mapInArrow(run, schema)
