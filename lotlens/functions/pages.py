@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import vocabulary as V
 from .scalars import bind
 
 # How lines of each kind look, labels of detail values, and sub-scores of a quality report.
@@ -93,7 +94,7 @@ def parse_detail(text: Column) -> Column:
     """struct of the labelled values, report, warranty and return policy of a detail page; missing ones null."""
 
     def fields(lines: Column) -> Column:
-        report = F.array_position(F.transform(lines, F.lower), "quality report").cast("int")
+        report = F.array_position(F.transform(lines, F.lower), V.REPORT_HEADING).cast("int")
         below = F.slice(lines, report + 1, F.lit(5))
         rest = F.slice(lines, F.greatest(report, F.lit(1)), F.size(lines))
         has = report > 0
@@ -102,11 +103,11 @@ def parse_detail(text: Column) -> Column:
             place = F.array_position(rest, label).cast("int")
             return F.when(has & (place > 0), _first_match(F.slice(rest, place + 1, F.lit(4)), pattern))
 
-        scores = F.struct(*[F.struct(score(label, r"^\d+(?:\.\d+)?$").alias("score"), score(label, "^(excellent|good|fair|poor)$").alias("grade")).alias(n) for label, n in SCORE_LABELS.items()])
+        scores = F.struct(*[F.struct(score(label, V.REPORT_SCORE).alias("score"), score(label, V.REPORT_GRADE).alias("grade")).alias(n) for label, n in SCORE_LABELS.items()])
         columns = {n: after_label(lines, label) for n, label in DETAIL_LABELS.items()}
         columns |= {
-            "inspection_status": F.when(has, "quality_report_available"), "inspection_summary": F.when(has, _first_match(below, r"\bparts evaluated\b")), "quality_scores": scores, "service_due_text": _first_match(lines, r"^Next service due\b"),
-            "warranty_label": _phrase(lines, "warranty", r"\b\d+\s*-\s*year warranty\b|\b\d+\s*year warranty\b", " warranty"), "return_policy_label": _phrase(lines, "money back", r"\b\d+\s*-\s*day money back\b|\b\d+\s*day money back\b", " money back"),
+            "inspection_status": F.when(has, V.REPORT_STATUS), "inspection_summary": F.when(has, _first_match(below, V.REPORT_SUMMARY)), "quality_scores": scores, "service_due_text": _first_match(lines, V.SERVICE_DUE),
+            "warranty_label": _phrase(lines, "warranty", V.WARRANTY_PHRASE, " warranty"), "return_policy_label": _phrase(lines, "money back", V.MONEY_BACK_PHRASE, " money back"),
         }
         return F.when(F.size(lines) > 0, F.struct(*[c.alias(n) for n, c in columns.items()]))
 

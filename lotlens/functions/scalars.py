@@ -106,14 +106,19 @@ def token(c: Column) -> Column:
 
 def normal_url(c: Column) -> Column:
     """Scheme (https if none) and host in lower case, single slashes, no trailing slash, query or fragment."""
+
+    def built(scheme: Column, host: Column, path: Column) -> Column:
+        rooted = F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+        return F.concat(F.when(scheme == "", F.lit("https")).otherwise(F.lower(scheme)), F.lit("://"), F.lower(host), rooted)
+
+    def of(bare: Column) -> Column:
+        # scheme, //host and path of a text always match, each of the first two possibly empty
+        parts = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/]*))?(.*)$"
+        path = F.regexp_replace(F.regexp_replace(F.regexp_extract(bare, parts, 3), "/+", "/"), "/$", "")
+        return bind(path, lambda p: built(F.regexp_extract(bare, parts, 1), F.regexp_extract(bare, parts, 2), p))
+
     text = F.trim(F.coalesce(c.cast("string"), F.lit("")))
-    bare = F.regexp_replace(text, r"[?#].*$", "")
-    scheme = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    rest = F.regexp_replace(bare, r"^[A-Za-z][A-Za-z0-9+.-]*:", "")
-    host = F.lower(F.regexp_extract(rest, r"^//([^/]*)", 1))
-    path = F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, r"^//[^/]*", ""), "/+", "/"), "/$", "")
-    whole = F.concat(F.when(scheme == "", F.lit("https")).otherwise(scheme), F.lit("://"), host, F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)))
-    return F.when(text == "", F.lit("")).otherwise(whole)
+    return bind(F.regexp_replace(text, r"[?#].*$", ""), lambda bare: F.when((bare == "") & (text == ""), F.lit("")).otherwise(of(bare)))
 
 
 def short_hash(c: Column) -> Column:

@@ -42,11 +42,7 @@ def group_medians(train: DataFrame, price: str = "listed_price_inr") -> DataFram
     """level, level_name, key, median_price (whole, half to even) and n of each group of each level."""
     names = list(LEVELS[0][1])
     keyed = train.select(*[feature(n).alias(n) for n in names], F.coalesce(F.col(price), F.lit(0)).cast("bigint").alias("price"))
-    sets = ", ".join(f"({', '.join(parts)})" for _, parts in LEVELS)
-    view = f"train_{abs(hash(id(keyed)))}"
-    keyed.createOrReplaceTempView(view)
-    gid = f"grouping_id({', '.join(names)})"
-    grouped = train.sparkSession.sql(f"SELECT {', '.join(names)}, {gid} AS gid, median(price) AS m, count(*) AS n FROM {view} GROUP BY {', '.join(names)} GROUPING SETS ({sets})")
+    grouped = keyed.groupingSets([[F.col(p) for p in parts] for _, parts in LEVELS], *names).agg(F.grouping_id(*names).alias("gid"), F.median("price").alias("m"), F.count("*").alias("n"))
     out = F.lit(None)
     for i, (name, parts) in enumerate(LEVELS):
         code = sum(1 << (len(names) - 1 - k) for k, n in enumerate(names) if n not in parts)
@@ -60,12 +56,15 @@ def group_medians(train: DataFrame, price: str = "listed_price_inr") -> DataFram
 
 
 def predict(test: DataFrame, medians: DataFrame, least_rows: int, key: str, price: str = "listed_price_inr") -> DataFrame:
-    """For each test row (unique ``key``): actual and predicted price, the level used, its size and errors."""
+    """For each ``key`` of the test rows: actual and predicted price, the level used, its size and errors.
+
+    Of rows that repeat a key the one with the narrowest level counts, then the cheapest.
+    """
     usable = medians.filter((F.col("n") >= least_rows) | (F.col("level_name") == "global")).select("level", "key", "level_name", "median_price", "n")
     wanted = test.select(F.col(key).alias("id"), F.coalesce(F.col(price), F.lit(0)).cast("bigint").alias("actual"), F.explode(level_keys()).alias("w")).select("id", "actual", "w.level", F.col("w.key").alias("key"))
     found = wanted.join(usable, ["level", "key"])
-    best = found.groupBy("id").agg(F.first("actual").alias("actual_price_inr"), F.min_by(F.struct("median_price", "level_name", "n"), "level").alias("b"))
-    out = best.select(F.col("id").alias(key), "actual_price_inr", F.col("b.median_price").alias("predicted_price_inr"), F.col("b.level_name").alias("prediction_level"), F.col("b.n").alias("training_group_count"))
+    best = found.groupBy("id").agg(F.min(F.struct("level", "actual", "median_price", "level_name", "n")).alias("b"))
+    out = best.select(F.col("id").alias(key), F.col("b.actual").alias("actual_price_inr"), F.col("b.median_price").alias("predicted_price_inr"), F.col("b.level_name").alias("prediction_level"), F.col("b.n").alias("training_group_count"))
     error = F.abs(F.col("actual_price_inr") - F.col("predicted_price_inr"))
     return out.withColumns({"absolute_error_inr": error, "absolute_percentage_error": F.when(F.col("actual_price_inr") > 0, F.bround(error / F.col("actual_price_inr"), 6))})
 

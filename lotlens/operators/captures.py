@@ -17,7 +17,7 @@ def detail_summary(details: DataFrame) -> DataFrame:
     )
 
 
-def listing_summary(records: DataFrame, key: str, pages: Column, source_total: Column) -> DataFrame:
+def listing_summary(records, key: str, pages: Column, source_total: Column) -> DataFrame:
     return records.agg(F.count("*").alias("records"), F.count_distinct(key).alias("unique_keys"), F.max(pages).alias("pages"), F.max(source_total).alias("source_total_items"))
 
 

@@ -84,10 +84,10 @@ def scope(rows: DataFrame) -> DataFrame:
     return rows.agg(named("source"), named("city"))
 
 
-def batch_status(jobs: DataFrame) -> DataFrame:
-    """planned without a run, empty without jobs, pass if all exit with 0, else fail."""
+def batch_status(jobs) -> DataFrame:
+    """planned without a run, empty without jobs, pass if all exit with 0, else fail; for a table or a grouping of one."""
     one = jobs.agg(F.count("*").alias("jobs"), F.count("exit_code").alias("ran"), F.coalesce(F.bool_and(F.col("exit_code") == 0), F.lit(False)).alias("all_ok"))
-    return one.select("jobs", "ran", F.when(F.col("jobs") == 0, "empty").when(F.col("ran") == 0, "planned").when((F.col("ran") == F.col("jobs")) & F.col("all_ok"), "pass").otherwise("fail").alias("status"))
+    return one.withColumn("status", F.when(F.col("jobs") == 0, "empty").when(F.col("ran") == 0, "planned").when((F.col("ran") == F.col("jobs")) & F.col("all_ok"), "pass").otherwise("fail")).drop("all_ok")
 
 
 def resume(jobs: DataFrame, passed: DataFrame, keys: list[str]) -> DataFrame:

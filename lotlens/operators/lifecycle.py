@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.scalars import bucket, int_truncated, normal_url, short_hash, token
+from ..functions.scalars import bind, bucket, int_truncated, normal_url, short_hash, token
 
 OBSERVATION_FIELDS = (
     "listing_key", "source", "source_listing_id", "listing_url", "run_id", "capture_date", "captured_at", "city", "state", "brand", "model", "variant",
@@ -27,13 +27,15 @@ def with_identity(df: DataFrame) -> DataFrame:
     """listing_identity_basis, _value and listing_key: URL, else id, else raw hash, else seven core fields."""
     url, own, raw = normal_url(_text(df, "listing_url")), _text(df, "source_listing_id"), _text(df, "raw_record_hash")
     core = F.concat_ws("|", *[token(c) for c in (_text(df, "city"), _text(df, "brand"), _text(df, "model"), _text(df, "variant"), _year(df), _text(df, "listed_price_inr"), _text(df, "km_driven"))])
-    ladder = (("listing_url", url != "", url), ("source_listing_id", own != "", token(own)), ("raw_record_hash", raw != "", token(raw)))
-    basis, value = F, F
-    for name, holds, text in ladder:
-        basis, value = basis.when(holds, name), value.when(holds, text)
-    out = df.withColumn("listing_identity_basis", basis.otherwise("core_fields")).withColumn("listing_identity_value", value.otherwise(core))
-    material = F.concat_ws("|", token(_text(df, "source")), "listing_identity_basis", "listing_identity_value")
-    return out.withColumn("listing_key", F.concat(F.lit("listing_"), short_hash(material)))
+    rung = lambda basis, value: F.struct(F.lit(basis).alias("basis"), value.alias("value"))
+    below = F.when(own != "", rung("source_listing_id", token(own))).when(raw != "", rung("raw_record_hash", token(raw))).otherwise(rung("core_fields", core))
+    basis = bind(url, lambda u: F.when(u != "", rung("listing_url", u)).otherwise(below))
+    # basis, value and key are one struct, so that nothing is evaluated once for each of them
+    material = lambda r: F.concat_ws("|", token(_text(df, "source")), r["basis"], r["value"])
+    identity = bind(basis, lambda r: F.struct(r["basis"].alias("basis"), r["value"].alias("value"), F.concat(F.lit("listing_"), short_hash(material(r))).alias("key")))
+    names = {"listing_identity_basis": "basis", "listing_identity_value": "value", "listing_key": "key"}
+    out = df.withColumn("listing_identity", identity)
+    return out.withColumns({name: F.col(f"listing_identity.{part}") for name, part in names.items()}).drop("listing_identity")
 
 
 def with_fingerprint(df: DataFrame) -> DataFrame:
@@ -41,11 +43,8 @@ def with_fingerprint(df: DataFrame) -> DataFrame:
     step = lambda n, size: F.coalesce(bucket(F.col(n), size).cast("string"), F.lit("")) if n in df.columns else F.lit("")
     parts = {n: token(_text(df, n)) for n in ("brand", "city", "fuel_type", "model", "ownership", "registration_code", "transmission", "variant")}
     parts |= {"km_bucket": step("km_driven", V.KM_BUCKET), "price_bucket": step("listed_price_inr", V.PRICE_BUCKET), "year": token(_year(df))}
-    ordered = [parts[n] for n in sorted(parts)]
-    complete = ordered[0] != ""
-    for p in ordered[1:]:
-        complete = complete & (p != "")
-    return df.withColumn("vehicle_fingerprint", F.when(complete, F.concat(F.lit("vehicle_"), short_hash(F.concat_ws("|", *ordered)))).otherwise(F.lit("")))
+    printed = lambda p: F.when(F.array_contains(p, ""), F.lit("")).otherwise(F.concat(F.lit("vehicle_"), short_hash(F.array_join(p, "|"))))
+    return df.withColumn("vehicle_fingerprint", bind(F.array(*[parts[n] for n in sorted(parts)]), printed))
 
 
 def _order() -> Column:
@@ -73,24 +72,37 @@ def latest_rows(observations: DataFrame) -> DataFrame:
 
 def duplicate_vehicles(observations: DataFrame) -> DataFrame:
     """Fingerprints that more than one listing carries."""
-    named = observations.filter(F.coalesce(F.col("vehicle_fingerprint"), F.lit("")) != "")
+    return _duplicates(_per_vehicle(observations))
+
+
+def _per_vehicle(observations: DataFrame) -> DataFrame:
+    return observations.groupBy("vehicle_fingerprint", "listing_key", "source", "city").agg(F.count("*").alias("n"))
+
+
+def _duplicates(per: DataFrame) -> DataFrame:
+    named = per.filter(F.coalesce(F.col("vehicle_fingerprint"), F.lit("")) != "")
     names = lambda c: F.sort_array(F.collect_set(F.nullif(F.col(c), F.lit(""))))
-    groups = named.groupBy("vehicle_fingerprint").agg(F.count("*").alias("observation_count"), F.sort_array(F.collect_set("listing_key")).alias("listing_keys"), names("source").alias("sources"), names("city").alias("cities"))
+    groups = named.groupBy("vehicle_fingerprint").agg(F.sum("n").alias("observation_count"), F.sort_array(F.collect_set("listing_key")).alias("listing_keys"), names("source").alias("sources"), names("city").alias("cities"))
     return groups.withColumn("listing_key_count", F.size("listing_keys").cast("bigint")).filter("listing_key_count > 1")
 
 
 def totals_by_source(observations: DataFrame) -> DataFrame:
-    """Rows, listings, listings seen again and duplicate groups of each source."""
-    per_key = observations.groupBy("source", "listing_key").agg(F.count("*").alias("n"))
+    """Rows, listings, listings seen again and duplicate groups of each source.
+
+    Both halves stand on one count by fingerprint, key, source and city, whose exchange is shared.
+    """
+    per = _per_vehicle(observations)
+    per_key = per.groupBy("source", "listing_key").agg(F.sum("n").alias("n"))
     rows = per_key.groupBy("source").agg(F.sum("n").alias("records"), F.count("*").alias("unique_listing_keys"), F.count_if(F.col("n") > 1).alias("reobserved_listing_groups"))
-    groups = duplicate_vehicles(observations).select(F.explode("sources").alias("source")).groupBy("source").agg(F.count("*").alias("possible_vehicle_duplicate_groups"))
+    groups = _duplicates(per).select(F.explode("sources").alias("source")).groupBy("source").agg(F.count("*").alias("possible_vehicle_duplicate_groups"))
     return rows.join(groups, "source", "left").fillna(0, ["possible_vehicle_duplicate_groups"])
 
 
 def totals(observations: DataFrame) -> DataFrame:
     """One row of the whole table's counts."""
-    per_key = observations.groupBy("listing_key").agg(F.count("*").alias("n")).select("n", F.lit(0).alias("dup"))
-    groups = duplicate_vehicles(observations).select(F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("dup"))
+    per = _per_vehicle(observations)
+    per_key = per.groupBy("listing_key").agg(F.sum("n").alias("n")).select("n", F.lit(0).alias("dup"))
+    groups = _duplicates(per).select(F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("dup"))
     key = F.col("dup") == 0
     return per_key.unionByName(groups).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("records_total"), F.count_if(key).alias("unique_listing_keys"), F.count_if(key & (F.col("n") > 1)).alias("reobserved_listing_groups"), F.count_if(~key).alias("possible_vehicle_duplicate_groups")
@@ -121,7 +133,25 @@ def snapshot_diff(current: DataFrame, previous: DataFrame | None = None) -> Data
     """
     pick = lambda df, p: df.select("listing_key", F.col("source").alias(f"{p}_source"), int_truncated(F.col("listed_price_inr")).alias(f"{p}_price_inr"), int_truncated(F.col("km_driven")).alias(f"{p}_km"), F.lit(True).alias(f"in_{p}"))
     before = pick(current.limit(0) if previous is None else previous, "previous")
-    both = pick(current, "current").join(before, "listing_key", "full_outer")
+    return _compared(pick(current, "current").join(before, "listing_key", "full_outer"))
+
+
+def diff_of_observations(rows: DataFrame, is_current: Column, position: str) -> DataFrame:
+    """:func:`snapshot_diff` of the last rows (by ``position``) of each side, from one pass over both.
+
+    ``is_current`` tells the sides apart. The last row of each side travels under ``max_by`` in one
+    aggregation by key; rows without a key take no part.
+    """
+    one = F.struct(F.col("source").alias("source"), int_truncated(F.col("listed_price_inr")).alias("price"), int_truncated(F.col("km_driven")).alias("km"))
+    last = lambda side: F.max_by(one, F.when(side, F.col(position)))
+    # the key is tested behind the aggregation, where the test can't be pushed down and compute it again
+    sides = rows.groupBy("listing_key").agg(last(is_current).alias("c"), last(~is_current).alias("p"), F.count_if(is_current).alias("nc"), F.count_if(~is_current).alias("np"), F.max("listing_key").alias("named"))
+    flat = [F.col(f"{s}.{f}").alias(f"{name}_{as_}") for s, name in (("c", "current"), ("p", "previous")) for f, as_ in (("source", "source"), ("price", "price_inr"), ("km", "km"))]
+    marks = [F.when(F.col("nc") > 0, True).alias("in_current"), F.when(F.col("np") > 0, True).alias("in_previous")]
+    return _compared(sides.filter(F.coalesce(F.col("named"), F.lit("")) != "").select("listing_key", *flat, *marks))
+
+
+def _compared(both: DataFrame) -> DataFrame:
     status = F.when(F.col("in_previous").isNull(), "added").when(F.col("in_current").isNull(), "removed").otherwise("still_active")
     delta = lambda a, b: F.when((status == "still_active") & (F.col(a) != F.col(b)), F.col(a) - F.col(b))
     change = delta("current_price_inr", "previous_price_inr")

@@ -127,3 +127,17 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     """One row: size, variety and exact price quantiles."""
     q = lambda p: F.bround(F.percentile("listed_price_inr", F.lit(p)), 4)
     return df.agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"), F.count_distinct("city").alias("cities"), F.count_distinct("brand").alias("brands"), F.count_distinct("brand", "model").alias("brand_models"), q(0.01).alias("price_p01"), q(0.5).alias("price_p50"), q(0.99).alias("price_p99"))
+
+
+def side_by_side(figures: DataFrame, by: str, columns: list[str], values: list[str]) -> DataFrame:
+    """A row for each figure with one column for each stated value of ``by`` (a row of ``figures`` each)."""
+    long = figures.select(by, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in columns])).alias("m")).select(by, "m.metric", "m.v")
+    return long.groupBy("metric").pivot(by, values).agg(F.max("v"))
+
+
+def described(importances: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Feature importances (some dozens of rows) with what is known of each feature, and their place in order."""
+    from pyspark.sql import Window as W
+
+    place = F.row_number().over(W.orderBy(F.desc("importance"), "feature"))
+    return importances.join(metadata, "feature", "left").withColumn("kind", F.coalesce("kind", F.lit("unknown"))).withColumn("place", place)

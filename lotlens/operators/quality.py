@@ -147,3 +147,6 @@ def completeness_gaps(profile: DataFrame, top: int = 10) -> DataFrame:
     return profile.filter("ratio < 1.0").orderBy("ratio", "grp", "field").limit(top)
 
 
+def field_union(fields: DataFrame) -> DataFrame:
+    """Every field name over all sources: which sources have it and where it was first seen (``fields``: source, field, position)."""
+    return fields.groupBy("field").agg(F.sort_array(F.collect_set("source")).alias("sources"), F.min("position").alias("first_seen"))

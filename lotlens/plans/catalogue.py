@@ -240,8 +240,7 @@ diff AS (SELECT coalesce(c.listing_key, p.listing_key) AS listing_key, CASE WHEN
 
 def diff(spark, sf_dir):
     rows = lifecycle.with_identity(listings(spark, sf_dir))
-    side = lambda df: lifecycle.last_by_key(df, "record_index")
-    return lifecycle.snapshot_diff(side(rows.filter(F.col("capture_date") >= CUT)), side(rows.filter(F.col("capture_date") < CUT)))
+    return lifecycle.diff_of_observations(rows, F.col("capture_date") >= CUT, "record_index")
 
 
 @query(SNAPSHOTS + " SELECT * FROM diff")
@@ -408,15 +407,18 @@ _LEVEL_SQL = " UNION ALL ".join(
     for i, (n, parts) in enumerate(baseline.LEVELS)
 )
 MEDIANS = f"WITH train AS (SELECT * FROM listings WHERE NOT ({SPLIT})), test AS (SELECT * FROM listings WHERE {SPLIT}), tk AS (" + _LEVEL_SQL.format(cols="listed_price_inr AS price", src="train") + "), medians AS (SELECT level, level_name, key, CAST(round_even(median(price), 0) AS BIGINT) AS median_price, count(*) AS n FROM tk GROUP BY 1, 2, 3)"
-LADDER = MEDIANS + ", wk AS (" + _LEVEL_SQL.format(cols="record_key AS id, listed_price_inr AS actual, source, city", src="test") + """), hits AS (SELECT id, actual, source, city, m.level_name, m.median_price, m.n, row_number() OVER (PARTITION BY id ORDER BY m.level) AS nth FROM wk JOIN medians m ON wk.level = m.level AND wk.key = m.key WHERE m.n >= 5 OR m.level_name = 'global'),
+LADDER = MEDIANS + ", wk AS (" + _LEVEL_SQL.format(cols="record_key AS id, listed_price_inr AS actual, source, city", src="test") + """), hits AS (SELECT id, actual, source, city, m.level_name, m.median_price, m.n, row_number() OVER (PARTITION BY id ORDER BY m.level, actual, m.median_price) AS nth FROM wk JOIN medians m ON wk.level = m.level AND wk.key = m.key WHERE m.n >= 5 OR m.level_name = 'global'),
 pred AS (SELECT id AS record_key, source, actual AS actual_price_inr, median_price AS predicted_price_inr, level_name AS prediction_level, n AS training_group_count, abs(actual - median_price) AS absolute_error_inr, CASE WHEN actual > 0 THEN round_even(abs(actual - median_price) / CAST(actual AS DOUBLE), 6) END AS absolute_percentage_error FROM hits WHERE nth = 1)"""
 _LADDER_METRICS = "count(*) AS n, round_even(avg(absolute_error_inr), 2) AS mae, round_even(sqrt(avg(CAST(absolute_error_inr AS DOUBLE) * absolute_error_inr)), 2) AS rmse, round_even(median(absolute_error_inr), 2) AS median_absolute_error, round_even(avg(absolute_percentage_error), 6) AS mape, round_even(median(absolute_percentage_error), 6) AS median_absolute_percentage_error, round_even(count(*) FILTER (absolute_percentage_error <= 0.10) / CAST(count(absolute_percentage_error) AS DOUBLE) * 100, 2) AS within_10_pct, round_even(count(*) FILTER (absolute_percentage_error <= 0.20) / CAST(count(absolute_percentage_error) AS DOUBLE) * 100, 2) AS within_20_pct"
 
 
-def halves(spark, sf_dir):
-    rows = listings(spark, sf_dir)
-    test = S.in_test(SEED, 0.2, F.col("record_key"))
-    return rows.filter(~test), rows.filter(test)
+def halves(spark, sf_dir, seed=SEED):
+    """Train and test rows, written once because several branches of a plan read them."""
+    rows = listings(spark, sf_dir).select("record_key", "source", "city", "brand", "model", "variant", "model_year", "fuel_type", "transmission", "ownership", "km_driven", "listed_price_inr")
+    path = scratch(spark, "halves")
+    rows.withColumn("side", F.when(S.in_test(seed, 0.2, F.col("record_key")), "test").otherwise("train")).write.partitionBy("side").parquet(path)
+    side = lambda name: spark.read.schema(rows.schema).parquet(f"{path}/side={name}")
+    return side("train"), side("test")
 
 
 def ladder(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lotlens.plans import catalogue
+from lotlens.plans import cases, catalogue, more  # noqa: F401  (cases and more register their queries)
 
 from .oracle import connect, differences
 
