@@ -273,6 +273,17 @@ def decode(coded: DataFrame, ranks_path: str | None = None) -> DataFrame:
     return coded.select("doc_id", "ids").mapInArrow(run, T.StructType([coded.schema["doc_id"], T.StructField("raw", T.BinaryType())]))
 
 
+def _per_word(flat: np.ndarray, sizes: np.ndarray, glue: bytes, table: list[bytes]) -> list[bytes]:
+    """For each word the bytes that ``table`` has for its ids, joined."""
+    out, ends = [], np.cumsum(sizes)
+    for k in range(0, len(sizes), 20_000):
+        stop = ends[k : k + 20_000] - (ends[k] - sizes[k])
+        tokens, stop = flat[ends[k] - sizes[k] :][: stop[-1]].tolist(), stop.tolist()
+        named = [table[t] for t in tokens]
+        out += [glue.join(named[i:j]) for i, j in zip([0, *stop], stop)]
+    return out
+
+
 def digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document's ids and of what they decode to.
 
@@ -288,19 +299,13 @@ def digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 ids, stops, codes, flat, sizes = _opened(batch.slice(r, 1))
-                ends = np.cumsum(sizes)
-                spans = list(zip((ends - sizes).tolist(), ends.tolist()))
-                tokens = flat.tolist()
-                per_word = lambda glue, table: [glue.join([table[t] for t in tokens[i:j]]) for i, j in spans].__getitem__
-                written, decoded = per_word(b",", decimals), per_word(b"", pieces)
-                counts, one, two = [], [], []
-                for start, stop in zip(stops[:-1].tolist(), stops[1:].tolist()):
-                    row = codes[start:stop]
-                    counts.append(int(sizes[row].sum()))
-                    row = row.tolist()
-                    one.append(sha256(b",".join(map(written, row))).hexdigest())
-                    two.append(sha256(b"".join(map(decoded, row))).hexdigest())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], names)
+                rows = list(zip(stops[:-1].tolist(), stops[1:].tolist()))
+                counts = pa.array([int(sizes[codes[i:j]].sum()) for i, j in rows], pa.int64())
+                hashed = []
+                for glue, table in ((b",", decimals), (b"", pieces)):  # one after the other, to hold one list of words' bytes at a time
+                    word = _per_word(flat, sizes, glue, table).__getitem__
+                    hashed.append(pa.array([sha256(glue.join(map(word, codes[i:j].tolist()))).hexdigest() for i, j in rows], pa.string()))
+                yield pa.RecordBatch.from_arrays([ids, counts, *hashed], names)
 
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     return _folded(docs, rank_table(path), None, BLOCK_CHARS, "doc_id", "text").mapInArrow(run, schema)
