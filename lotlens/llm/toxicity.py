@@ -3,16 +3,19 @@
 Features are the presence of hashed words and word beginnings (four to six letters, for inflected
 stems). The model is fitted on at most ``MAX_ROWS`` labelled rows, the ones with the smallest id hash,
 whatever the table's size; only their feature lists reach the driver. Each labelled text that holds
-identity terms is fitted together with counterfactuals in which every such term is swapped for another
-of its group; ``penalty`` times the squared change of the logit is added to the loss, so that the model
-cannot learn a neutral mention as a sign of toxicity. Scoring is row by row with a fixed-size weight
-table: no shuffle of the texts.
+identity terms (groups named outright, and pronouns by gender) is fitted together with counterfactuals in
+which every such term is swapped for another of its group; ``penalty`` times the squared change of the
+logit is added to the loss, so that the model cannot learn a neutral mention as a sign of toxicity. The
+terms' own features always stay in the model, so that the penalty has something to act on. Scoring is
+row by row with a fixed-size weight table: no shuffle of the texts.
 
 Labels, language, source and id are never features. Rows whose crc32(id as text) mod 3 is 1 are held out.
 
 Edge cases: null and empty texts score the prior; null labels and ids are not learnt from; a null id is
-not held out; repeated label rows count as often as they occur; without both classes among the labels
-every score is 0; an empty table gives an empty result; extra columns are ignored.
+not held out; repeated label rows count as often as they occur (within ``MAX_ROWS``), and of documents
+that repeat an id the text with the largest hash is learnt from; without both classes among the labels
+every score is 0; texts of any length are scored whole; an empty table gives an empty result; extra
+columns are ignored by :func:`score` and carried along, whatever their names, by :func:`drop_toxic`.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ PREFIXES = (4, 5, 6)
 IDENTITY_TERMS = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("gay", "straight", "lesbian"), ("black", "white", "asian", "latino"),
     ("muslim", "christian", "jewish", "hindu", "atheist"), ("immigrants", "refugees", "natives"), ("old", "young"), ("blind", "deaf", "disabled"),
+    ("he", "she"), ("him", "her"), ("his", "hers"), ("himself", "herself"),
+    ("er", "sie"), ("ihn", "ihr"), ("il", "elle"), ("ils", "elles"), ("él", "ella"), ("ellos", "ellas"),
     ("frauen", "männer"), ("muslime", "christen", "juden"), ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"), ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
 )
 
@@ -89,11 +94,12 @@ def swapped(words: list[str], terms=IDENTITY_TERMS) -> list[list[str]]:
     return out
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[int, np.ndarray]], penalty: float = 1.0, l2: float = 1e-4, steps: int = 300, rate: float = 0.3, least_rows: int = 3, least_chi2: float = 8.0) -> Model:
+def fit(features: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[int, np.ndarray]], penalty: float = 1.0, l2: float = 1e-4, steps: int = 300, rate: float = 0.3, least_rows: int = 3, least_chi2: float = 8.0, always: np.ndarray | None = None) -> Model:
     """Logistic regression by Adagrad on the mean loss, ridge and counterfactual penalty.
 
     ``swaps`` holds (row, features of a counterfactual). Features in fewer than ``least_rows`` rows, or whose
-    chi-square against the label is under ``least_chi2``, are left out: most words say nothing.
+    chi-square against the label is under ``least_chi2``, are left out: most words say nothing. Features
+    in ``always`` stay.
     """
     size = 1 << BITS
     weights = np.zeros(size, np.float32)
@@ -104,7 +110,10 @@ def fit(features: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[int, n
     seen, in_toxic = np.bincount(flat, minlength=size), np.bincount(flat[labels[row] == 1], minlength=size)
     base = labels.mean()
     chi2 = (in_toxic - seen * base) ** 2 / np.maximum(seen * base * (1 - base) * (1 - seen / (n + 1)), 1e-9)
-    used = np.flatnonzero((seen >= least_rows) & (chi2 >= least_chi2))
+    telling = (seen >= least_rows) & (chi2 >= least_chi2)
+    if always is not None and len(swaps):
+        telling[always] = True
+    used = np.flatnonzero(telling)
     at = np.full(size, -1)
     at[used] = np.arange(len(used))
     row, flat = row[at[flat] >= 0], at[flat[at[flat] >= 0]]
@@ -139,18 +148,20 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, penalty: float = 1.0, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", terms=IDENTITY_TERMS) -> Model:
-    """Fit on a bounded sample of the labelled rows that are not held out."""
+def examples(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", terms=IDENTITY_TERMS) -> tuple[list[np.ndarray], np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Features, labels and swaps of a bounded sample of the labelled rows that are not held out."""
     marked = labels.filter(~held_out(id_col)).filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     order = F.xxhash64(id_col)
     total = marked.count()
-    # the sample is cut by hash, so its expected size is the bound and no sort is needed
-    if total > max_rows:
-        marked = marked.filter(F.pmod(order, F.lit(1 << 20)) < F.lit(int((1 << 20) * (max_rows / total))))
-    chosen = marked.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    # two numbers a row: broadcast while the sample is as small as it should be, else (ids repeated at will) joined
-    chosen = F.broadcast(chosen) if chosen.count() <= 2 * max_rows else chosen
-    sample = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).join(chosen, "id")
+    if total > max_rows:  # a cut by hash leaves little more than the bound to sort
+        marked = marked.filter(F.pmod(order, F.lit(1 << 20)) < F.lit(min(1 << 20, 1 + int((1 << 20) * 1.2 * max_rows / total))))
+    chosen = marked.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), order.alias("h")).orderBy("h", "id", "y").limit(max_rows).toArrow()
+    if not chosen.num_rows:
+        return [], np.zeros(0, np.int64), []
+    # max_rows numbers at most
+    wanted = docs.sparkSession.createDataFrame(pa.table({"id": chosen["id"].unique()}), T.StructType([T.StructField("id", docs.schema[id_col].dataType)]))
+    texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).join(F.broadcast(wanted), "id")
+    sample = texts.groupBy("id").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -160,14 +171,23 @@ def train(docs: DataFrame, labels: DataFrame, penalty: float = 1.0, max_rows: in
                 words = [words_of(t) for t in part["text"].to_pylist()]
                 own = pa.array([hasher.text(w).astype(np.int32) for w in words], pa.list_(pa.int32()))
                 others = pa.array([[hasher.text(o).astype(np.int32).tolist() for o in swapped(w, terms)] for w in words], pa.list_(pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays([part["id"], part["y"], own, others], ["id", "y", "own", "others"])
-
-    rows = sample.mapInArrow(extract, T.StructType([sample.schema["id"], sample.schema["y"], T.StructField("own", T.ArrayType(T.IntegerType())), T.StructField("others", T.ArrayType(T.ArrayType(T.IntegerType())))])).toArrow()
-    order = np.lexsort((rows["y"].to_numpy(), rows["id"].to_numpy())) if rows.num_rows else np.zeros(0, np.int64)
-    own = rows["own"].to_numpy()
-    others = rows["others"].to_pylist()
-    swaps = [(k, np.array(o, np.int64)) for k, r in enumerate(order) for o in others[r]]
-    return fit([own[r] for r in order], rows["y"].to_numpy()[order] if len(order) else np.zeros(0, np.int64), swaps, penalty)
+                yield pa.RecordBatch.from_arrays([part["id"], own, others], ["id", "own", "others"])
+
+    rows = sample.mapInArrow(extract, T.StructType([sample.schema["id"], T.StructField("own", T.ArrayType(T.IntegerType())), T.StructField("others", T.ArrayType(T.ArrayType(T.IntegerType())))])).toArrow()
+    place = {k: r for r, k in enumerate(rows["id"].to_pylist())}
+    own, others = rows["own"].to_numpy(), rows["others"].to_pylist()
+    learnt = [(place[k], y) for k, y in zip(chosen["id"].to_pylist(), chosen["y"].to_pylist(), strict=True) if k in place]
+    swaps = [(k, np.array(o, np.int64)) for k, (r, _) in enumerate(learnt) for o in others[r]]
+    return [own[r] for r, _ in learnt], np.array([y for _, y in learnt], np.int64), swaps
+
+
+def term_features(terms=IDENTITY_TERMS) -> np.ndarray:
+    return Hasher().text([w for group in terms for w in group])
+
+
+def train(docs: DataFrame, labels: DataFrame, penalty: float = 1.0, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", terms=IDENTITY_TERMS) -> Model:
+    """Fit on a bounded sample of the labelled rows that are not held out."""
+    return fit(*examples(docs, labels, max_rows, id_col, text_col, label_col, terms), penalty, always=term_features(terms))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
