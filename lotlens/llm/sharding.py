@@ -6,12 +6,13 @@ with a count instead of one row per document. Each round joins every class with
 and of each flow between two shards as much is accepted as keeps both within ``SLACK`` times their quotas,
 splitting a class where it must. At the end a shard over its quota keeps its largest parts of classes. Documents without links and what
 was not accepted fill the shards up to their quotas at the end, so that row counts differ by at most
-one. Ranks within a shard or class are two-level prefix sums over hash buckets: no class, shard or
-other group is ever sorted in one task.
+one. Ranks within a shard or class are prefix sums over hash buckets, whose totals are themselves added up
+in two steps: no class, shard or other group is ever sorted in one task, and nothing is broadcast.
 
 Edge cases: null text counts as empty; null and repeated ids are placed like others, ranked by their
-hash; a class of any size may span shards; fewer documents than shards leave some shards empty; an empty
-table gives an empty result; extra columns are ignored.
+hash; a class of any size may span shards; texts count by their hash, whatever their length; fewer
+documents than shards leave some shards empty; an empty table gives an empty result; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,20 +29,29 @@ ROUNDS = 3
 SLACK = 2
 BUCKETS = 64
 ROWS_PER_BUCKET = 20_000
+RUN = 1024
+
+
+def _ahead(totals: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order, ahead): the total of all smaller ``order`` of the same key, added up by runs of ``RUN`` first."""
+    runs = totals.withColumn("run", F.floor(F.col(order) / F.lit(RUN)))
+    whole_runs = runs.groupBy(key, "run").agg(F.sum("total").alias("of_run"))
+    before = whole_runs.select(key, "run", (F.sum("of_run").over(W.partitionBy(key).orderBy("run")) - F.col("of_run")).alias("before"))
+    inside = F.sum("total").over(W.partitionBy(key, "run").orderBy(order)) - F.col("total")
+    return runs.withColumn("inside", inside).join(before, [key, "run"]).select(key, order, (F.col("before") + F.col("inside")).alias("ahead"))
 
 
 def _room(pieces: DataFrame, buckets: int, salt: int, large_first: bool = False) -> DataFrame:
     """``pieces`` (to, cls, cnt, ...) with ``before``: how many go to the same shard ahead of each.
 
-    The order is by hash bucket, then class, or by power of two of the count before that; bucket totals
-    are at most 64 x targets x buckets rows.
+    The order is by hash bucket, then class, or by power of two of the count before that.
     """
     rank = (F.lit(64) - F.floor(F.log2("cnt"))) * buckets if large_first else F.lit(0)
     placed = pieces.withColumn("bkt", rank + F.pmod(F.xxhash64(F.lit(salt), "cls"), F.lit(buckets)))
     totals = placed.groupBy("to", "bkt").agg(F.sum("cnt").alias("total"))
-    ahead = totals.select("to", "bkt", (F.sum("total").over(W.partitionBy("to").orderBy("bkt")) - F.col("total")).alias("ahead"))
+    ahead = _ahead(totals, "to", "bkt")
     within = F.sum("cnt").over(W.partitionBy("to", "bkt").orderBy("cls", "shard").rowsBetween(W.unboundedPreceding, -1))
-    return placed.withColumn("within", F.coalesce(within, F.lit(0))).join(F.broadcast(ahead), ["to", "bkt"]).withColumn("before", F.col("ahead") + F.col("within")).drop("bkt", "within", "ahead")
+    return placed.withColumn("within", F.coalesce(within, F.lit(0))).join(ahead, ["to", "bkt"]).withColumn("before", F.col("ahead") + F.col("within")).drop("bkt", "within", "ahead")
 
 
 def _lookup(values: dict[int, int], key: Column) -> Column:
@@ -147,7 +157,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, i
     shard = F.element_at(F.filter("ends", lambda e: e["upto"] > at), 1)["shard"]
     placed = written(ranked.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), "tie", F.pmod("tie", F.lit(salts)).alias("part")), "shard-placed")
     totals = placed.groupBy("shard", "part").agg(F.count("*").alias("total"))
-    ahead = totals.select("shard", "part", (F.sum("total").over(W.partitionBy("shard").orderBy("part")) - F.col("total")).alias("ahead"))
+    ahead = _ahead(totals, "shard", "part")
     within = F.row_number().over(W.partitionBy("shard", "part").orderBy("tie", "doc_id", "text_crc32")) - 1
     slotted = placed.withColumn("within", within).join(ahead, ["shard", "part"])
     return slotted.select(
