@@ -2,13 +2,15 @@
 
 Lines are exploded with their positions, normalised and hashed to 128 bits. The hash table (documents
 per hash, largest id) is built with partial counts, so a line that a third of all documents hold sends
-one row per task and document set. Only lines over the threshold are joined back, which gives each
-document's positions to drop. A Bloom filter of those documents (at most 32 MB, as in exact
+one row per task and document set. Only lines over the threshold are joined back, hot lines salted, which
+gives each document's positions to drop. A Bloom filter of those documents (at most 32 MB, as in exact
 deduplication) lets the others pass straight through; the rest meet their positions and are reassembled.
+Past about 10^8 losing documents the filter lets more of the others take the shuffled way; no result changes.
 
 Edge cases: null text is one empty line; a null id counts as no document and keeps nothing; repeated
-rows with one id count as one document and get equal results; keys shorter than ``min_chars`` always
-stay; an empty table gives an empty result; extra columns are ignored.
+rows with one id count as one document and get equal results; of lines that one document repeats all stay
+or all go; keys shorter than ``min_chars`` always stay; a text of any length is split whole, in the task
+that holds it; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import let, whole, written
+from .base import hot_keys, let, salted_join, whole, written
 from .exact_dedup import bits_set, member_cells, table_cells
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,7 +64,7 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, i
     rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
     lines = written(hashed_lines(rows, min_chars), "lines")
     shared = written(shared_lines(lines, min_docs), "lines-shared")
-    hits = lines.join(shared, "h")
+    hits = salted_join(lines, shared, "h", ["doc_id", "row"], hot_keys(lines, "h"))
     losing = hits.filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     drops = written(losing.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_set("pos").alias("drop")), "lines-drop")
     keyed = rows.withColumn("row", F.unhex(F.md5("text")))

@@ -15,12 +15,13 @@ themselves, and the verified links' connected components are found by minimum la
 jumping. Where a bucket's members were not all compared and still lie in several components, those
 outside its largest component are then compared with all its members, exactly and in blocks of bounded
 size, and the components joined. A link is missed only if no band of 25 brings its ends, or texts that
-lead from one to the other, together.
+lead from one to the other, together. Joins on buckets, classes, heads and roots salt their hot keys.
 
 Edge cases: null text counts as empty; texts without words are grouped only with equal texts; null ids
 are carried and rank smallest; of a group the largest doc_id stays, and of rows that repeat one id and
-text exactly one; an empty table gives an empty result; extra columns are ignored by
-:func:`near_duplicates` and carried along by :func:`drop_near_duplicates`.
+text exactly one; a text of any length is sketched whole, by itself if it exceeds a batch; an empty table
+gives an empty result; extra columns are ignored by :func:`near_duplicates` and carried along, whatever
+their names, by :func:`drop_near_duplicates`.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import whole, written
+from .base import hot_keys, hot_of, packed, salted_join, whole, written
 
 GRAM = 5
 SIMILARITY = 0.8
@@ -163,11 +164,11 @@ def sketch(texts: DataFrame, keys: list[str], bands: int = BANDS, rows: int = RO
 
 
 def multisets(texts: DataFrame, key: str, gram: int = GRAM) -> DataFrame:
-    """``key`` and bag: the grams as distinct 32-bit numbers, the k-th occurrence of a gram being its own.
+    """``key`` and bag: the grams as distinct 64-bit numbers, the k-th occurrence of a gram being its own.
 
     Rows that repeat a key within a partition are passed over.
     """
-    schema = T.StructType([texts.schema[key], T.StructField("bag", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([texts.schema[key], T.StructField("bag", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -178,10 +179,9 @@ def multisets(texts: DataFrame, key: str, gram: int = GRAM) -> DataFrame:
             src = np.repeat(np.arange(len(text)), weight)
             nth = np.arange(len(src)) - np.repeat(np.cumsum(weight) - weight, weight)
             with np.errstate(over="ignore"):
-                item = (mix(grams[src] + _M2 * nth.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            pair = np.unique(np.stack([text[src].astype(np.int64), item.astype(np.int64)]), axis=1) if len(src) else np.zeros((2, 0), np.int64)
-            stops = np.searchsorted(pair[0], np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch[key], pa.ListArray.from_arrays(pa.array(stops), pa.array(pair[1].astype(np.int32)))], schema.names)
+                item = mix(grams[src] + _M2 * nth.astype(np.uint64)).view(np.int64)
+            stops = np.searchsorted(text[src], np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch[key], pa.ListArray.from_arrays(pa.array(stops), pa.array(item))], schema.names)
 
     return texts.select(key, "text", F.char_length("text").alias("size")).mapInArrow(run, schema)
 
@@ -194,7 +194,9 @@ def meetings(classes: DataFrame) -> DataFrame:
         F.min(F.struct(F.xxhash64(F.lit(1), "cls").alias("h"), "cls")).alias("r3"), F.min(F.struct(F.xxhash64(F.lit(2), "cls").alias("h"), "cls")).alias("r4"),
     )
     buckets = written(chosen.filter("members > 1").select("bucket", "members", F.array_distinct(F.array("r1", "r2", "r3.cls", "r4.cls")).alias("heads")), "buckets")
-    return entries.join(buckets, "bucket").select("bucket", "cls", "grams", "members", "heads")
+    total = buckets.agg(F.sum("members")).first()[0] or 0
+    hot = hot_of(buckets.select("bucket", F.col("members").alias("n")), "bucket", total)
+    return salted_join(entries, buckets, "bucket", ["cls"], hot).select("bucket", "cls", "grams", "members", "heads")
 
 
 def candidate_pairs(met: DataFrame) -> DataFrame:
@@ -247,7 +249,7 @@ def remaining_links(met: DataFrame, roots: DataFrame, bags: DataFrame, similarit
     as_left = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("rights") - 1), lambda x: F.struct(F.lit(True).alias("left"), i.alias("i"), x.alias("j")))
     as_right = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("lefts") - 1), lambda x: F.struct(F.lit(False).alias("left"), x.alias("i"), j.alias("j")))
     cells = F.when(F.col("root") == F.col("main"), as_right).otherwise(F.concat(as_left, as_right))
-    dealt = rooted.join(plan, "bucket").join(bags, "cls").select("bucket", "root", "bag", F.explode(cells).alias("cell")).select("bucket", "cell.i", "cell.j", "cell.left", "root", "bag")
+    dealt = salted_join(rooted, plan, "bucket", ["cls"], hot_keys(rooted, "bucket")).join(bags, "cls").select("bucket", "root", "bag", F.explode(cells).alias("cell")).select("bucket", "cell.i", "cell.j", "cell.left", "root", "bag")
     share = round(similarity * 1000)
 
     def compare(rows: pa.Table) -> pa.Table:
@@ -280,10 +282,11 @@ def remaining_links(met: DataFrame, roots: DataFrame, bags: DataFrame, similarit
 
 
 def verified(pairs: DataFrame, bags: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs whose multisets overlap enough: (a, b)."""
+    """The pairs (a written table) whose multisets overlap enough: (a, b)."""
     left = bags.select(F.col("cls").alias("a"), F.col("bag").alias("bag_a"))
     right = bags.select(F.col("cls").alias("b"), F.col("bag").alias("bag_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    half = salted_join(pairs, left, "a", ["b"], hot_keys(pairs, "a"))
+    both = salted_join(half, right, "b", ["a"], hot_keys(pairs, "b"))
     common = F.size(F.array_intersect("bag_a", "bag_b"))
     # exact in integers: common / (|a| + |b| - common) >= similarity
     enough = common * F.lit(1000) >= F.lit(round(similarity * 1000)) * (F.size("bag_a") + F.size("bag_b") - common)
@@ -294,11 +297,13 @@ def components(links: DataFrame) -> DataFrame:
     """(cls, root): connected components of (a, b) links, each named by its smallest class."""
     both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cls"), F.least("a", "m").alias("root")), "roots")
+    hubs = hot_keys(both, "b")
     while True:
-        heard = both.join(labels.select(F.col("cls").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("heard"))
-        told = labels.join(heard.withColumnRenamed("a", "cls"), "cls", "left").select("cls", "root", F.least("root", "heard").alias("next"))
+        heard = salted_join(both, labels.select(F.col("cls").alias("b"), "root"), "b", ["a"], hubs).groupBy("a").agg(F.min("root").alias("heard"))
+        told = written(labels.join(heard.withColumnRenamed("a", "cls"), "cls", "left").select("cls", "root", F.least("root", "heard").alias("next")), "told")
         jump = labels.select(F.col("cls").alias("next"), F.col("root").alias("beyond"))
-        after = written(told.join(jump, "next", "left").select("cls", F.col("root").alias("old"), F.least("next", "beyond").alias("root")), "roots")
+        beyond = salted_join(told, jump, "next", ["cls"], hot_keys(told, "next"))
+        after = written(beyond.select("cls", F.col("root").alias("old"), F.least("next", "beyond").alias("root")), "roots")
         if after.filter("root <> old").isEmpty():
             return after.select("cls", "root")
         labels = after.select("cls", "root")
@@ -324,8 +329,10 @@ def _grouped(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS
         named = written(named.join(beyond, "root", "left").withColumn("root", F.coalesce("beyond", "root")).drop("beyond"), "named")
     groups = written(named.groupBy("root").agg(F.max(F.struct("class_id", "cls")).alias("lead"), F.sum("copies").alias("group_size")), "roots")
     groups = groups.select("root", F.col("lead.class_id").alias("group_id"), F.col("lead.cls").alias("lead"), "group_size")
-    of_class = written(named.join(groups, "root").select("cls", "class_id", "group_id", "group_size", (F.col("cls") == F.col("lead")).alias("leads")), "groups")
-    counted = sketched.groupBy("cls", "doc_id").agg(F.count("*").alias("n")).join(of_class, "cls")
+    of_class = written(salted_join(named, groups, "root", ["cls"], hot_keys(named, "root")).select("cls", "class_id", "group_id", "group_size", (F.col("cls") == F.col("lead")).alias("leads")), "groups")
+    counted = sketched.groupBy("cls", "doc_id").agg(F.count("*").alias("n"))
+    hot = hot_of(classes.select("cls", F.col("copies").alias("n")), "cls", sketched.count())
+    counted = salted_join(counted, of_class, "cls", ["doc_id"], hot)
     return counted.withColumn("stays", F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id"))).drop("leads")
 
 
@@ -343,13 +350,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group: the row :func:`near_duplicates` keeps, found by id and text."""
     stay = _grouped(docs, id_col=id_col, text_col=text_col, **options).filter("stays")
-    stay = written(stay.select(F.col("doc_id").alias("__id"), F.col("cls").alias("__cls"), (F.col("n") > 1).alias("__repeated")), "stay")
-    keyed = docs.withColumn("__text_cls", F.unhex(F.md5(whole(text_col))))
+    stay = written(stay.select(F.col("doc_id").alias("stay_id"), F.col("cls").alias("stay_cls"), (F.col("n") > 1).alias("repeated")), "stay")
+    text = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
+    keyed = packed(docs).select("row", F.col(f"row.`{id_col}`").alias("row_id"), F.unhex(F.md5(text)).alias("row_cls"))
 
     def rows(keys: DataFrame) -> DataFrame:
-        return keyed.join(keys, (F.col("__text_cls") == F.col("__cls")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+        return keyed.join(keys, (F.col("row_cls") == F.col("stay_cls")) & F.col("row_id").eqNullSafe(F.col("stay_id")), "left_semi")
 
-    out, repeated = rows(stay.filter("NOT __repeated")), stay.filter("__repeated")
-    if not repeated.isEmpty():  # rows with one id and text: any of them
-        out = out.unionByName(rows(repeated).withColumn("__key_id", F.col(id_col)).dropDuplicates(["__text_cls", "__key_id"]).drop("__key_id"))
-    return out.drop("__text_cls")
+    out, repeated = rows(stay.filter("NOT repeated")).select("row"), stay.filter("repeated")
+    if not repeated.isEmpty():  # of rows with one id and text the one whose other columns hash highest
+        best = rows(repeated).groupBy("row_cls", "row_id").agg(F.max_by("row", F.xxhash64("row")).alias("row"))
+        out = out.unionByName(best.select("row"))
+    return out.select("row.*")

@@ -19,12 +19,12 @@ def op2_token_counts(spark, sf_dir):
 def op3_secrets(spark, sf_dir):
     found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
     base = [r.kind for r in secrets.BASE_RULES]
-    count = lambda kind: F.size(F.filter("__spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     return found.select(
         "doc_id",
         *[count(k) for k in base],
-        F.sha2(secrets.listed(F.filter("__spans", lambda s: s["order"] < len(base))), 256).alias("base_sha256"),
-        secrets.listed(F.col("__spans")).alias("spans"),
+        F.sha2(secrets.listed(F.filter("spans", lambda s: s["order"] < len(base))), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
     )
 
 

@@ -10,7 +10,10 @@ The expressions' matches are leftmost and do not overlap within a rule; matches
 dropped afterwards. Starts come from the lengths of the pieces between matches.
 
 Edge cases: null text counts as empty; repeated rows are scanned once each; null ids join null-safely;
-ties in start are ordered by rule; an empty table gives an empty result; extra columns are carried.
+ties in start are ordered by rule; texts of any length are scanned whole, and their spans gathered in
+stretches of ``STRETCH``, so that many spans in one text don't cost their square; an empty table gives an
+empty result; extra columns are carried along, whatever their names, but for one named like the spans'
+column, which :func:`scan` replaces.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import let, whole
+from .base import let, packed
 
 
 @dataclass(frozen=True)
@@ -49,6 +52,8 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 MOST_STRINGS = 64
+STRETCH = 256
+SPANS = "array<struct<start:int,order:int,stop:int,kind:string>>"
 
 #: A query: None (all documents), a trigram, ("and", queries) or ("or", queries).
 Query = object
@@ -151,10 +156,10 @@ def _holds(query: Query, grams: Column) -> Column:
     return out
 
 
-def postings(docs: DataFrame, grams: list[str], text_col: str = "text", *keys: str) -> DataFrame:
-    """The inverted index over ``grams``: a row (gram, keys) for each document that contains it."""
-    folded = docs.select(*keys, F.lower(whole(text_col)).alias("__folded"))
-    held = F.filter(F.array(*[F.lit(g) for g in grams]), lambda g: F.contains(F.col("__folded"), g))
+def postings(texts: DataFrame, grams: list[str], text_col: str, *keys: str) -> DataFrame:
+    """The inverted index over ``grams``: a row (gram, keys) for each text (not null) that contains it."""
+    folded = texts.select(*keys, F.lower(text_col).alias("folded"))
+    held = F.filter(F.array(*[F.lit(g) for g in grams]), lambda g: F.contains(F.col("folded"), g))
     return folded.select(F.explode(held).alias("gram"), *keys)
 
 
@@ -162,7 +167,7 @@ def candidates(index: DataFrame, queries: dict[str, Query], *keys: str) -> DataF
     """Intersect the postings: keys and ``kinds``, the rules whose query the document satisfies."""
     held = index.groupBy(*keys).agg(F.collect_set("gram").alias("grams"))
     kinds = F.array_compact(F.array(*[F.when(_holds(q, F.col("grams")), F.lit(kind)) for kind, q in queries.items()]))
-    return held.select(*keys, kinds.alias("__kinds")).filter(F.size("__kinds") > 0)
+    return held.select(*keys, kinds.alias("kinds")).filter(F.size("kinds") > 0)
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
@@ -170,8 +175,6 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     pattern = F.lit(rule.pattern)
 
     def located(pieces: Column, found: Column, checked: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,order:int,stop:int,kind:string>>").alias("out"))
-
         def step(acc: Column, i: Column) -> Column:
             start = acc["at"] + F.char_length(F.get(pieces, i))
             stop = start + F.char_length(F.get(found, i))
@@ -179,32 +182,43 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
             out = F.when(F.char_length(F.get(checked, i)) >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
             return F.struct(stop.alias("at"), out.alias("out"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step)["out"]
+        def stretch(acc: Column, k: Column) -> Column:
+            places = F.sequence(k * STRETCH, F.least((k + 1) * STRETCH, F.size(found)) - 1)
+            inner = F.aggregate(places, F.struct(acc["at"].alias("at"), F.array().cast(SPANS).alias("out")), step)
+            return let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out"))
+        last = F.floor((F.size(found) - 1) / F.lit(STRETCH)).cast("int")
+        return F.flatten(F.aggregate(F.sequence(F.lit(0), last), zero, stretch)["out"])
 
     spans = let(
         F.split(text, rule.pattern, -1),
         lambda pieces: let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: let(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda checked: located(pieces, found, checked))),
     )
-    return F.when(text.rlike(rule.pattern), spans).otherwise(F.array().cast("array<struct<start:int,order:int,stop:int,kind:string>>"))
+    return F.when(text.rlike(rule.pattern), spans).otherwise(F.array().cast(SPANS))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with __spans: array<struct<start,order,stop,kind>> in order of start, then of the rules."""
+def _found(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str) -> DataFrame:
+    """row (the document's columns), text (null: empty) and spans."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not None}
     grams = list(dict.fromkeys(g for q in indexed.values() for g in trigrams(q)))
-    keyed = docs.withColumn("__hash", F.unhex(F.md5(whole(text_col))))
-    found = keyed.select(F.col(id_col).alias("__id"), F.col("__hash").alias("__of"), F.col(text_col).alias("__text"))
-    index = postings(found, grams, "__text", "__id", "__of")
-    some = candidates(index, indexed, "__id", "__of").hint("shuffle_hash")
-    joined = keyed.join(some, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__of")), "left")
-    text = whole(text_col)
-    nothing = F.array().cast("array<struct<start:int,order:int,stop:int,kind:string>>")
+    text = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
+    keyed = packed(docs).select("row", F.unhex(F.md5(text)).alias("hash"))
+    texts = keyed.select(F.col(f"row.`{id_col}`").alias("of_id"), F.col("hash").alias("of_hash"), text.alias("text"))
+    some = candidates(postings(texts, grams, "text", "of_id", "of_hash"), indexed, "of_id", "of_hash").hint("shuffle_hash")
+    joined = keyed.join(some, F.col(f"row.`{id_col}`").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash")), "left")
     parts = []
     for order, rule in enumerate(rules):
         spans = _spans(text, rule, order)
-        parts.append(spans if queries[rule.kind] is None else F.when(F.array_contains("__kinds", rule.kind), spans).otherwise(nothing))
-    return joined.withColumn("__spans", F.array_sort(F.concat(*parts))).select(*docs.columns, "__spans")
+        parts.append(spans if queries[rule.kind] is None else F.when(F.array_contains("kinds", rule.kind), spans).otherwise(F.array().cast(SPANS)))
+    return joined.select("row", text.alias("text"), F.array_sort(F.concat(*parts)).alias("spans"))
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "spans") -> DataFrame:
+    """``docs`` with ``spans_col``: array<struct<start,order,stop,kind>> in order of start, then of the rules."""
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() != spans_col.lower()]
+    return _found(docs, rules, id_col, text_col).select(*kept, F.col("spans").alias(spans_col))
 
 
 def listed(spans: Column) -> Column:
@@ -212,15 +226,23 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every found span replaced by its kind in brackets; texts without one stay as they are."""
-    text = whole(text_col)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """``docs`` with every found span replaced by its kind in brackets; texts without one stay as they are.
+
+    ``length_col`` names a column with the text's length, to be counted anew where the text has changed.
+    """
+    text = F.col("text")
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))
+        fresh = F.concat(acc["out"], F.array(F.concat(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))))
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
-    clean = let(F.aggregate(F.col("__spans"), zero, step), lambda end: F.concat(end["out"], F.substr(text, end["at"] + 1)))
-    found = scan(docs, rules, id_col, text_col)
-    return found.withColumn(text_col, F.when(F.size("__spans") > 0, clean).otherwise(F.col(text_col))).drop("__spans")
+    clean = let(F.aggregate("spans", zero, step), lambda end: F.concat(F.array_join(end["out"], ""), F.substr(text, end["at"] + 1)))
+    changed = F.size("spans") > 0
+    found = _found(docs, rules, id_col, text_col).withColumn("clean", F.when(changed, clean))
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    columns[text_col] = F.when(changed, F.col("clean")).otherwise(columns[text_col])
+    if length_col:
+        columns[length_col] = F.when(changed, F.char_length("clean")).otherwise(columns[length_col]).cast(docs.schema[length_col].dataType)
+    return found.select(*[value.alias(name) for name, value in columns.items()])

@@ -267,3 +267,64 @@ def test_counterfactual_penalty_shrinks_identity_effects():
     (free, _), (held, signal) = gap(0.0), gap(5.0)
     assert held < 0.2 * free and signal > 1
     assert toxicity.swapped(["the", "women", "spoke"]) == [["the", "men", "spoke"]] and toxicity.swapped(["a"]) == []
+
+
+def test_the_corpus_has_identity_swaps(spark):
+    """Labelled texts of the test tables do hold terms that are swapped (pronouns), so the penalty is evaluated."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    features, y, swaps = toxicity.examples(docs, labels)
+    assert 200 < len(features) == len(y) <= toxicity.MAX_ROWS and len(swaps) > 50
+    model = toxicity.fit(features, y, swaps, always=toxicity.term_features())
+    plain = toxicity.fit(features, y, [])
+    z = lambda m, f: float(m.weights[f].sum())
+    moved = lambda m: float(np.mean([abs(z(m, o) - z(m, features[r])) for r, o in swaps]))
+    assert moved(model) <= moved(plain) + 0.05 and moved(model) < 0.1
+
+
+def test_fit_against_a_loop(spark):
+    rng = np.random.default_rng(4)
+    features = [np.sort(rng.choice(12, 4, replace=False)) for _ in range(40)]
+    y = np.array([int(3 in f or rng.random() < 0.2) for f in features])
+    swaps = [(k, np.sort(rng.choice(12, 4, replace=False))) for k in range(0, 40, 3)]
+    steps, rate, penalty, l2 = 25, 0.3, 1.5, 1e-3
+    used = [f for f in range(12) if sum(f in x for x in features) >= 1]
+    share = [0.5 / y.sum() if v else 0.5 / (len(y) - y.sum()) for v in y]
+    w, b, gw, gb = dict.fromkeys(used, 0.0), 0.0, dict.fromkeys(used, 1e-8), 1e-8
+    for _ in range(steps):
+        z = [sum(w.get(f, 0) for f in x) + b for x in features]
+        grad, step_b = {f: l2 * w[f] for f in used}, 0.0
+        for x, v, s, logit in zip(features, y, share, z):
+            err = s * (1 / (1 + np.exp(-logit)) - v)
+            step_b += err
+            for f in x:
+                grad[f] += err
+        for r, other in swaps:
+            change = 2 * penalty / len(swaps) * (sum(w.get(f, 0) for f in other) + b - z[r])
+            for f in other:
+                if f in grad:
+                    grad[f] += change
+            for f in features[r]:
+                grad[f] -= change
+        for f in used:
+            gw[f] += grad[f] ** 2
+            w[f] -= rate * grad[f] / gw[f] ** 0.5
+        gb += step_b**2
+        b -= rate * step_b / gb**0.5
+    model = toxicity.fit(features, y, swaps, penalty, l2, steps, rate, 1, 0.0)
+    assert abs(model.bias - b) < 1e-6 and all(abs(model.weights[f] - w[f]) < 1e-5 for f in used)
+
+
+def test_scores_are_the_models_sums(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model, hasher = toxicity.train(docs, labels), toxicity.Hasher()
+    texts = dict(documents(spark))
+    for r in toxicity.score(docs, model).collect():
+        z = sum(float(model.weights[f]) for f in {f for w in toxicity.words_of(texts[r.doc_id] or "") for f in hasher.word(w)}) + model.bias
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-6 and r.predicted == int(r.score >= 0.7)
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 5, "doc_id long, toxic int")
+    docs = table(spark, [(i, f"{'vile' if i % 2 else 'calm'} text {i} copy {k}") for i in range(40) for k in range(6)])
+    features, y, _ = toxicity.examples(docs, labels, max_rows=70)
+    assert len(features) == len(y) == 70
