@@ -3,40 +3,37 @@
 Toxic documents go, of exact copies the one with the largest id stays, likewise of near duplicates, found
 secrets are replaced by their kind in brackets, and the rest is packed into training sequences. A stage's
 result is written as Parquet to the shared scratch folder and read again, so a lost executor costs no
-more than the stage that was running. Null texts count as empty; an empty table runs through.
+more than the stage that was running.
+
+Edge cases: null texts count as empty; null ids are carried and rank smallest; ties and repeated rows are
+settled as each operator's module says, so exactly one row of each group stays; texts of any length are
+treated whole; an empty table runs through; all but the last stage return the columns they were given,
+whatever their names and number (n_chars, if there is one, is counted anew where a secret was replaced).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lotlens.llm import exact_dedup, near_dedup, packing, secrets, toxicity
 from lotlens.llm.base import documents, written
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The model learns from the labelled rows of the whole table that are not held out."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.drop_toxic(docs.select(*COLUMNS), model)
+    return toxicity.drop_toxic(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.drop_duplicates(docs.select(*COLUMNS))
+    return exact_dedup.drop_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.drop_near_duplicates(docs.select(*COLUMNS))
+    return near_dedup.drop_near_duplicates(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """n_chars is counted anew where the text changed."""
-    before = docs.select(*COLUMNS).withColumn("__before", F.char_length("text"))
-    clean = secrets.redact(before)
-    changed = ~F.char_length("text").eqNullSafe(F.col("__before"))
-    return clean.withColumn("n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
+    return secrets.redact(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
