@@ -8,6 +8,7 @@ from ..functions import scalars as S
 from ..operators import baseline, captures, external, ledger, lifecycle, metrics, profiling, quality
 from ..sources import payloads
 from ..sources.tables import listings, table
+from . import combined, manifests
 from .catalogue import _FIELDS, _REASONS, FINGERPRINT, IDENTIFIED, LADDER, SEED, halves, query
 
 # --- relisted vehicles: the same cars offered again under another URL -----------------------------------
@@ -197,6 +198,23 @@ def capture_run_status(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.coalesce(status, F.lit("quality_failed")).alias("status"))
 
 
+_MANIFESTS = """SELECT c_mktsegment AS source, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE 'r' || c_custkey END AS run_id, CASE WHEN c_custkey % 2 = 0 THEN 'incremental' ELSE 'smoke' END AS kind, c_custkey % 3 <> 0 AS ok, c_custkey % 5 <> 0 AS coverage_ok, c_custkey % 7 AS listing_records,
+  CASE WHEN c_custkey % 11 = 0 THEN 0 ELSE c_custkey % 7 END AS quality_records, CASE WHEN c_custkey % 17 = 0 THEN 1 ELSE c_custkey % 7 END AS pricing_ready, CASE WHEN c_custkey % 19 = 0 THEN 2 END AS quarantined, c_custkey % 4 AS detail_requested, CAST(NULL AS BIGINT) AS detail_attempted,
+  c_custkey % 3 AS detail_successful, CASE WHEN c_custkey % 23 = 0 THEN 1 ELSE 0 END AS detail_failed, c_custkey / CAST(8 AS DOUBLE) AS duration_seconds FROM customer"""
+
+
+@query(f"""WITH m AS ({_MANIFESTS}) SELECT source, coalesce(run_id, 'unknown') AS run_id, kind, CASE WHEN kind = 'incremental' THEN CASE WHEN listing_records > 0 AND coverage_ok AND quality_records = listing_records AND pricing_ready = listing_records AND coalesce(quarantined, 0) = 0 AND detail_failed = 0 THEN 'pass' ELSE 'fail' END WHEN ok THEN 'pass' ELSE 'fail' END AS status,
+round_even(duration_seconds, 3) AS duration_seconds, listing_records, CAST(quality_records AS BIGINT) AS quality_records, CAST(pricing_ready AS BIGINT) AS pricing_ready, CAST(coalesce(quarantined, 0) AS BIGINT) AS quarantined, detail_requested, CAST(0 AS BIGINT) AS detail_attempted, detail_successful, CAST(detail_failed AS BIGINT) AS detail_failed FROM m""", on_listings=False)
+def run_manifest_rows(spark, sf_dir):
+    k = F.col("c_custkey")
+    given = {
+        "source": F.col("c_mktsegment"), "run_id": F.when(k % 13 != 0, F.concat(F.lit("r"), k.cast("string"))), "kind": F.when(k % 2 == 0, "incremental").otherwise("smoke"), "ok": k % 3 != 0, "coverage_ok": k % 5 != 0, "listing_records": k % 7,
+        "quality_records": F.when(k % 11 == 0, 0).otherwise(k % 7), "pricing_ready": F.when(k % 17 == 0, 1).otherwise(k % 7), "quarantined": F.when(k % 19 == 0, 2), "detail_requested": k % 4, "detail_attempted": F.lit(None).cast("bigint"), "detail_successful": k % 3,
+        "detail_failed": F.when(k % 23 == 0, 1).otherwise(0), "duration_seconds": k / F.lit(8.0),
+    }
+    return manifests.run_manifests(table(spark, sf_dir, "customer").select(*[v.alias(n) for n, v in given.items()]))
+
+
 # --- splits, stability, importances ---------------------------------------------------------------------
 
 
@@ -303,6 +321,29 @@ def external_validation(spark, sf_dir):
     return external.validate(rows, "true_value_external_kaggle")
 
 
+def lineage(spark, sf_dir):
+    live = listings(spark, sf_dir).filter(F.col("source") == "ASIA").withColumn("listing_key", F.col("record_index").cast("string"))
+    rows = external.trusted(external.canonical(external_rows(spark, sf_dir).filter("k % 10 <> 0")))
+    return combined.combined(live, rows, 1997, 2021)
+
+
+_COMBINED = EXTERNAL + """, both_ AS (SELECT 'live_' || record_index AS listing_key, 'live' AS dataset_origin, 1997 AS market_snapshot_year, source, city, brand, model, variant, CAST(model_year AS VARCHAR) AS model_year, fuel_type, listed_price_inr FROM listings WHERE source = 'ASIA'
+UNION ALL SELECT 'external_' || listing_key, 'external', 2021, 'true_value_external_kaggle', city, brand, model, variant, CAST(model_year AS VARCHAR), fuel_type, listed_price_inr FROM ext WHERE reasons = '' AND k % 10 <> 0)"""
+
+
+@query(_COMBINED + " SELECT listing_key, dataset_origin, market_snapshot_year, source, city, brand, model, variant, model_year, fuel_type, listed_price_inr FROM both_")
+def combined_rows(spark, sf_dir):
+    out = lineage(spark, sf_dir).withColumn("model_year", F.col("model_year").cast("string"))
+    return out.select("listing_key", "dataset_origin", "market_snapshot_year", "source", "city", "brand", "model", "variant", "model_year", "fuel_type", "listed_price_inr")
+
+
+@query(_COMBINED + """, f AS (SELECT count(*) AS n, count(DISTINCT listing_key) AS d, count(*) FILTER (coalesce(listed_price_inr, 0) <= 0) AS z FROM both_)
+SELECT 'rows_present' AS check_name, CASE WHEN n > 0 THEN 'pass' ELSE 'fail' END AS status FROM f UNION ALL SELECT 'listing_keys_are_unique', CASE WHEN n = d THEN 'pass' ELSE 'fail' END FROM f UNION ALL SELECT 'origins_known', 'pass' FROM f
+UNION ALL SELECT 'required_complete', 'pass' FROM f UNION ALL SELECT 'price_positive', CASE WHEN z = 0 THEN 'pass' ELSE 'fail' END FROM f""")
+def combined_checks(spark, sf_dir):
+    return combined.validation(lineage(spark, sf_dir))
+
+
 # --- scoring --------------------------------------------------------------------------------------------
 
 

@@ -25,7 +25,8 @@ def run_payload(spark: SparkSession, path: str, source: str, run: adapters.Run,
     """Contract, canonical listings, verdicts and layers of one captured payload; fails before writing anything."""
     rows = payloads.checked_payload(spark, path, source)
     judged = quality.evaluate(adapters.canonical(rows, source, run, as_of_year), as_of_year, registry)
-    return sinks.write_layers(judged, out, capture_date, run.run_id)
+    raw = sinks.write_raw(rows, out, source, capture_date, run.run_id)
+    return {"raw": raw} | sinks.write_layers(judged, out, capture_date, run.run_id)
 
 
 def observations(silver: DataFrame) -> DataFrame:

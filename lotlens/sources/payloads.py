@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 from ..operators import adapters
 
 
+#: How many failures an error's text lists; it counts the rest.
+SHOWN_FAILURES = 1000
+
+
 def payload_schema(source: str) -> T.StructType:
     record = T.StructType([T.StructField("raw", T.StructType([T.StructField(n, T.StringType()) for n in adapters.raw_fields(source)]))])
     text = [T.StructField(n, T.StringType()) for n in ("source", "source_url", "captured_at", "captured_for")]
@@ -27,13 +31,16 @@ def read_payload(spark: SparkSession, path: str, source: str) -> DataFrame:
 
 
 def checked_payload(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """The records, or ``ValueError`` listing every failure of the payload's contract."""
+    """The records, or ``ValueError`` with the failures of the payload's contract: the first ones, and how many more there are."""
     rows = read_payload(spark, path, source)
     head = rows.agg(F.count("*").alias("n"), F.first("said_source").alias("said"), F.first("source_url").alias("url")).first()
     found = adapters.header_failures(source, head["url"], head["n"], head["said"])
-    found += [tuple(r) for r in adapters.contract(rows, source).orderBy("record_index", "field_name").limit(1000).collect()]
+    wrong = adapters.contract(rows, source)
+    found += [tuple(r) for r in wrong.orderBy("record_index", "field_name").limit(SHOWN_FAILURES).collect()]
     if found:
-        raise ValueError(f"{source} payload contract failed: {adapters.format_failures(found)}")
+        more = wrong.count() - SHOWN_FAILURES
+        rest = f"; and {more} more" if more > 0 else ""
+        raise ValueError(f"{source} payload contract failed: {adapters.format_failures(found)}{rest}")
     return rows
 
 

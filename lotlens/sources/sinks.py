@@ -52,8 +52,34 @@ def small_document(df: DataFrame, most: int = 10_000) -> str:
 
 
 def markdown_table(df: DataFrame, title: str, most: int = 25) -> str:
-    """The first rows of a report as a Markdown table."""
-    rows = df.limit(most).collect()
+    """The first rows of a report as a Markdown table, and how many more there are."""
+    rows, n = df.limit(most).collect(), df.count()
     head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
     body = "\n".join("| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in rows)
-    return f"## {title}\n\n{head}\n{body}\n"
+    rest = f"\n{n - most} more rows.\n" if n > most else ""
+    return f"## {title}\n\n{head}\n{body}\n{rest}"
+
+
+def markdown_document(title: str, document: dict, depth: int = 2) -> str:
+    """A small document as Markdown: plain values in a list, nested ones under headings of their own."""
+    plain = {k: v for k, v in document.items() if not isinstance(v, dict)}
+    said = "".join(f"- {k}: {', '.join(map(str, v)) if isinstance(v, list) else v}\n" for k, v in plain.items())
+    nested = "".join(markdown_document(str(k), v, depth + 1) for k, v in document.items() if isinstance(v, dict))
+    return f"{'#' * depth} {title}\n\n{said}\n{nested}"
+
+
+def write_text(spark, text: str, path: str) -> None:
+    """One small text document, written through Spark so that any file system will do."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_document(spark, document: dict, path: str) -> None:
+    """One small JSON object with sorted keys on one line."""
+    write_text(spark, json.dumps(document, sort_keys=True, ensure_ascii=False), path)
+
+
+def write_raw(rows: DataFrame, root: str, source: str, capture_date: str, run_id: str) -> str:
+    """The raw layer: a run's records as they came, before any parsing."""
+    named = rows.withColumns({"source": F.lit(source), "capture_date": F.lit(capture_date), "run_id": F.lit(run_id)})
+    named.write.mode("overwrite").partitionBy("source", "capture_date", "run_id").parquet(f"{root}/raw")
+    return f"{root}/raw"

@@ -1,7 +1,9 @@
 """Streams of sightings: an entity table kept up to date batch by batch, and first-seen filtering.
 
 There is no table format with row updates here, so a micro-batch writes a new version of the entity
-table next to the last one and a batch that is replayed writes its own version again: exactly once.
+table next to the last one and a batch that is replayed writes its own version again: exactly once. A
+batch therefore costs a pass over the whole table, and two versions are kept: the last one, and the one
+before it, which a replay reads.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ class EntityTable:
             new = merged_entities(self.spark.read.parquet(f"{self.path}/v{number - 1}"), new, self.key)
         new.write.mode("overwrite").parquet(f"{self.path}/v{number}")
         self.last = number
+        if number > 1:
+            old = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{number - 2}")
+            old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v{self.last}")
