@@ -24,13 +24,15 @@ def main(argv: list[str] | None = None) -> int:
     query = commands.add_parser("query", help="a registered query over a folder of tables")
     query.add_argument("name")
     query.add_argument("sf_dir")
+    query.add_argument("--out", help="write the whole result there as Parquet instead of showing its first rows")
+    query.add_argument("--rows", type=int, default=50)
     args = parser.parse_args(argv)
 
     from pyspark.sql import SparkSession
 
     from .functions import vocabulary as V
     from .operators import adapters, lifecycle, quality
-    from .plans import catalogue, packages
+    from .plans import cases, catalogue, more, packages  # noqa: F401  (cases and more register their queries)
     from .sources import payloads, sinks
 
     spark = SparkSession.builder.appName("lotlens").getOrCreate()
@@ -45,13 +47,17 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "report":
         rows = spark.read.parquet(args.evaluated)
         groups = {"required": [f for fs, _ in V.REQUIRED_GROUPS for f in fs], "high_value": list(V.HIGH_VALUE_FIELDS), "optional": list(V.OPTIONAL_FIELDS)}
-        print(sinks.markdown_table(quality.field_profile(rows, groups), "Fields", 100))
+        print(sinks.markdown_table(quality.field_profile(rows, groups), "Fields", sum(map(len, groups.values()))))
         print(sinks.markdown_table(quality.histogram(rows, "reasons"), "Reasons"))
     elif args.command == "snapshot-diff":
         before = spark.read.parquet(args.previous) if args.previous else None
         print(sinks.small_document(lifecycle.diff_totals(lifecycle.snapshot_diff(spark.read.parquet(args.current), before))))
     else:
-        catalogue.QUERIES[args.name](spark, args.sf_dir).show(50, truncate=False)
+        result = catalogue.QUERIES[args.name](spark, args.sf_dir)
+        if args.out:
+            result.write.parquet(args.out)
+        else:
+            print(sinks.markdown_table(result, args.name, args.rows))
     return 0
 
 

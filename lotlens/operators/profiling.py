@@ -141,3 +141,22 @@ def described(importances: DataFrame, metadata: DataFrame) -> DataFrame:
 
     place = F.row_number().over(W.orderBy(F.desc("importance"), "feature"))
     return importances.join(metadata, "feature", "left").withColumn("kind", F.coalesce("kind", F.lit("unknown"))).withColumn("place", place)
+
+
+def flattened(df: DataFrame, key: str, column: str, depth: int = 4) -> DataFrame:
+    """(key, path, value): every leaf of a JSON object under its dotted path; arrays, and objects below ``depth``, as JSON.
+
+    Text that is no JSON object has no leaves; a null leaf is kept with a null value.
+    """
+    spark, out = df.sparkSession, None
+    level = df.select(F.col(key).alias("key"), F.lit(None).cast("string").alias("path"), F.expr(f"try_parse_json(`{column}`)").alias("v"))
+    for left in range(depth, 0, -1):
+        inside = level.filter("schema_of_variant(v) LIKE 'OBJECT%'")
+        parts = spark.sql("SELECT t.key, concat_ws('.', t.path, e.key) AS path, e.value AS v FROM {inside} t, LATERAL variant_explode(t.v) e", inside=inside)
+        kind = F.expr("schema_of_variant(v)")
+        nested = kind.startswith("OBJECT")
+        shown = F.when(nested | kind.startswith("ARRAY"), F.to_json("v")).otherwise(F.expr("CAST(v AS STRING)"))
+        leaves = (parts if left == 1 else parts.filter(~nested)).select(F.col("key").alias(key), "path", shown.alias("value"))
+        out = leaves if out is None else out.unionByName(leaves)
+        level = parts.filter(nested)
+    return out

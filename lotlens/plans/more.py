@@ -138,6 +138,13 @@ def field_name_union(spark, sf_dir):
     return quality.field_union(fields).select("field", F.array_join("sources", ",").alias("sources"), "first_seen")
 
 
+@query("""SELECT p_partkey, path, value FROM (SELECT p_partkey, p_brand, p_size FROM part) p, LATERAL (SELECT unnest([{'path': 'brand', 'value': p_brand}, {'path': 'size.number', 'value': CAST(p_size AS VARCHAR)}, {'path': 'size.more.even', 'value': CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END}, {'path': 'list', 'value': '[1,"b"]'}, {'path': 'none', 'value': NULL}], recursive := true)) u""", on_listings=False)
+def flattened_extra_fields(spark, sf_dir):
+    even = F.when(F.col("p_size") % 2 == 0, "true").otherwise("false")
+    text = F.concat(F.lit('{"brand":"'), "p_brand", F.lit('","size":{"number":'), F.col("p_size").cast("string"), F.lit(',"more":{"even":'), even, F.lit('}},"list":[1,"b"],"none":null}'))
+    return profiling.flattened(table(spark, sf_dir, "part").select("p_partkey", text.alias("extra")), "p_partkey", "extra")
+
+
 # --- captures, batches and jobs -------------------------------------------------------------------------
 
 

@@ -75,6 +75,16 @@ def write_modeling_package(rows: DataFrame, out: str, snapshot_year: int, least_
     predicted = baseline.predict(test, rows.sparkSession.read.parquet(f"{out}/medians"), least_rows, "listing_key")
     predicted.write.mode("overwrite").parquet(f"{out}/predictions")
     predicted.agg(*metrics.ladder_metrics()).write.mode("overwrite").json(f"{out}/metrics")
+    spark = rows.sparkSession
+    summary = {k: v for k, v in profiling.dataset_summary(rows).first().asDict().items()}
+    split = {r["baseline_split"]: r["count"] for r in rows.groupBy("baseline_split").count().collect()}  # two rows
+    parts = ("rows", "rows_csv", "rows_jsonl", "train_csv", "test_csv", "dictionary", "completeness", "blind_spots", "medians", "predictions", "metrics", "eda_summary", "eda_report", "dataset_report")
+    manifest = {"records_total": summary["n"], "columns": columns, "target": "listed_price_inr", "split": split, "snapshot_year": snapshot_year, "least_rows": least_rows, "outputs": {p: f"{out}/{p}" for p in parts}}
+    sinks.write_document(spark, summary, f"{out}/eda_summary")
+    tables = [sinks.markdown_table(profiling.completeness(rows, columns), "Fields", len(columns)), sinks.markdown_table(profiling.blind_spots(rows, snapshot_year), "Blind spots"), sinks.markdown_table(profiling.value_counts(rows, "brand").orderBy(F.desc("n"), "value"), "Makes")]
+    sinks.write_text(spark, "\n".join([sinks.markdown_document("Modelling rows", summary), *tables]), f"{out}/eda_report")
+    sinks.write_text(spark, sinks.markdown_document("Modelling package", manifest), f"{out}/dataset_report")
+    sinks.write_document(spark, manifest, f"{out}/manifest")
 
 
 def merged_metadata(manifest: dict, extra: dict, protected: tuple[str, ...] = PROTECTED) -> dict:

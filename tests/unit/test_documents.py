@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from lotlens.operators import adapters, pricing_model
 from lotlens.plans import combined, manifests, packages
 from lotlens.sources import documents, payloads, sinks
-from lotlens.streaming import entities
+from lotlens.streaming import entities, scroll
 
 ROW = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
 
@@ -108,3 +108,26 @@ def test_entity_versions_are_bounded(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir() if p.is_dir()) == ["v2", "v3"]
     table.upsert(spark.createDataFrame([("a", "t3"), ("b3", "t9")], "k string, at string"), 3)  # a replay
     assert {r.k: r.observation_count for r in table.read().collect()} == {"a": 4, "b0": 1, "b1": 1, "b2": 1, "b3": 1}
+
+
+def test_scroll_until_nothing_is_new(spark, tmp_path):
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("pos", T.LongType())])
+    state = scroll.NewRows(spark, str(tmp_path / "a"), "key", ["pos"], schema)
+    pages = [[("a", 1), ("b", 2), ("a", 3), (None, 4)], [("b", 5), ("c", 6)], [("c", 7)], [("d", 8)]]
+    for n, page in enumerate(pages):
+        state.add(spark.createDataFrame(page, schema), n)
+    state.add(spark.createDataFrame(pages[1], schema), 1)  # a replay
+    assert sorted(map(tuple, state.rows().collect())) == [("a", 1), ("b", 2), ("c", 6)] and state.ended(4) == "no_new_rows"
+    capped = scroll.NewRows(spark, str(tmp_path / "b"), "key", ["pos"], schema, most=3, most_each=2)
+    for n, page in enumerate(pages):
+        capped.add(spark.createDataFrame(page, schema), n)
+    assert capped.found == {0: 2, 1: 1, 2: 0, 3: 0} and capped.ended(4) == "cap_reached"
+
+
+def test_scroll_over_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n, page in enumerate((["a", "b"], ["b", "c"], ["a"])):
+        put(tmp_path / "in" / f"{n}.json", "\n".join(json.dumps({"key": k, "pos": n * 10 + i}) for i, k in enumerate(page)))
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("pos", T.LongType())])
+    state = scroll.scroll(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "log"), "key", ["pos"])
+    assert {r.key for r in state.rows().collect()} == {"a", "b", "c"} and sum(state.found.values()) == 3

@@ -174,6 +174,9 @@ def test_runs_and_packages(spark, tmp_path):
     assert {r.status for r in packages.modeling_checks(rows, 12, 12).collect()} == {"pass"}
     packages.write_modeling_package(rows, str(tmp_path / "package"), 2026)
     assert spark.read.json(str(tmp_path / "package/metrics")).first().n == rows.filter("baseline_split = 'test'").count()
+    told = json.loads(spark.read.text(str(tmp_path / "package/manifest"), wholetext=True).first()["value"])
+    assert told["records_total"] == 12 == sum(told["split"].values()) and all((tmp_path / "package" / name).is_dir() for name in told["outputs"])
+    assert "## Fields" in "\n".join(r.value for r in spark.read.text(str(tmp_path / "package/eda_report")).collect())
     with pytest.raises(ValueError):
         packages.merged_metadata({}, {"totals": 1})
     ask = rows.limit(1).withColumn("fuel_type", F.lit("EV")).select("brand", "model", "model_year", "km_driven", "fuel_type", "transmission", "city")
