@@ -94,10 +94,16 @@ def swapped(words: list[str], terms=IDENTITY_TERMS) -> list[list[str]]:
     return out
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[int, np.ndarray]], penalty: float = 1.0, l2: float = 1e-4, steps: int = 300, rate: float = 0.3, least_rows: int = 3, least_chi2: float = 8.0, always: np.ndarray | None = None) -> Model:
+def difference(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``other`` has and ``own`` lacks, and the other way round."""
+    return np.setdiff1d(other, own, True), np.setdiff1d(own, other, True)
+
+
+def fit(features: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray]], penalty: float = 1.0, l2: float = 1e-4, steps: int = 300, rate: float = 0.3, least_rows: int = 3, least_chi2: float = 8.0, always: np.ndarray | None = None) -> Model:
     """Logistic regression by Adagrad on the mean loss, ridge and counterfactual penalty.
 
-    ``swaps`` holds (row, features of a counterfactual). Features in fewer than ``least_rows`` rows, or whose
+    ``swaps`` holds what each counterfactual adds to its text's features and what it takes away; all others
+    cancel out in the change of the logit. Features in fewer than ``least_rows`` rows, or whose
     chi-square against the label is under ``least_chi2``, are left out: most words say nothing. Features
     in ``always`` stay.
     """
@@ -117,24 +123,21 @@ def fit(features: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[int, n
     at = np.full(size, -1)
     at[used] = np.arange(len(used))
     row, flat = row[at[flat] >= 0], at[flat[at[flat] >= 0]]
-    s_row = np.repeat(np.arange(len(swaps)), [len(f) for _, f in swaps]).astype(np.int64)
-    s_flat = np.concatenate([f for _, f in swaps]) if swaps else np.zeros(0, np.int64)
-    s_row, s_flat = s_row[at[s_flat] >= 0], at[s_flat[at[s_flat] >= 0]]
-    s_of = np.array([r for r, _ in swaps], np.int64)
+    moves = np.concatenate([x for pair in swaps for x in pair]).astype(np.int64) if swaps else np.zeros(0, np.int64)
+    sizes = np.array([len(x) for pair in swaps for x in pair], np.int64)
+    s_row, sign = np.repeat(np.arange(len(sizes)) // 2, sizes), np.repeat(np.tile([1.0, -1.0], len(swaps)), sizes)
+    kept = at[moves] >= 0
+    s_row, sign, s_flat = s_row[kept], sign[kept], at[moves[kept]]
     share = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))  # both classes weigh the same
     w, b = np.zeros(len(used)), 0.0
     gw, gb = np.full(len(used), 1e-8), 1e-8
     for _ in range(steps):
         z = np.bincount(row, w[flat], n) + b
         err = share * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels)
-        pull = np.zeros(n)
-        grad = l2 * w
-        if len(s_of):
-            change = (np.bincount(s_row, w[s_flat], len(s_of)) + b) - z[s_of]
-            change *= 2 * penalty / len(s_of)
-            grad = grad + np.bincount(s_flat, change[s_row], len(used))
-            pull = np.bincount(s_of, change, n)
-        grad = grad + np.bincount(flat, (err - pull)[row], len(used))
+        grad = l2 * w + np.bincount(flat, err[row], len(used))
+        if len(swaps):
+            change = np.bincount(s_row, sign * w[s_flat], len(swaps)) * (2 * penalty / len(swaps))
+            grad = grad + np.bincount(s_flat, sign * change[s_row], len(used))
         step_b = err.sum()
         gw += grad**2
         gb += step_b**2
@@ -148,7 +151,7 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def examples(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", terms=IDENTITY_TERMS) -> tuple[list[np.ndarray], np.ndarray, list[tuple[int, np.ndarray]]]:
+def examples(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", terms=IDENTITY_TERMS) -> tuple[list[np.ndarray], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Features, labels and swaps of a bounded sample of the labelled rows that are not held out."""
     marked = labels.filter(~held_out(id_col)).filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     order = F.xxhash64(id_col)
@@ -169,15 +172,15 @@ def examples(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_co
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
                 words = [words_of(t) for t in part["text"].to_pylist()]
-                own = pa.array([hasher.text(w).astype(np.int32) for w in words], pa.list_(pa.int32()))
-                others = pa.array([[hasher.text(o).astype(np.int32).tolist() for o in swapped(w, terms)] for w in words], pa.list_(pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays([part["id"], own, others], ["id", "own", "others"])
+                own = [hasher.text(w).astype(np.int32) for w in words]
+                moves = [[x.tolist() for o in swapped(w, terms) for x in difference(f, hasher.text(o).astype(np.int32))] for w, f in zip(words, own, strict=True)]
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(own, pa.list_(pa.int32())), pa.array(moves, pa.list_(pa.list_(pa.int32())))], ["id", "own", "moves"])
 
-    rows = sample.mapInArrow(extract, T.StructType([sample.schema["id"], T.StructField("own", T.ArrayType(T.IntegerType())), T.StructField("others", T.ArrayType(T.ArrayType(T.IntegerType())))])).toArrow()
+    rows = sample.mapInArrow(extract, T.StructType([sample.schema["id"], T.StructField("own", T.ArrayType(T.IntegerType())), T.StructField("moves", T.ArrayType(T.ArrayType(T.IntegerType())))])).toArrow()
     place = {k: r for r, k in enumerate(rows["id"].to_pylist())}
-    own, others = rows["own"].to_numpy(), rows["others"].to_pylist()
+    own, moves = rows["own"].to_numpy(), rows["moves"].to_pylist()
     learnt = [(place[k], y) for k, y in zip(chosen["id"].to_pylist(), chosen["y"].to_pylist(), strict=True) if k in place]
-    swaps = [(k, np.array(o, np.int64)) for k, (r, _) in enumerate(learnt) for o in others[r]]
+    swaps = [(np.array(more, np.int64), np.array(less, np.int64)) for r, _ in learnt for more, less in zip(moves[r][::2], moves[r][1::2])]
     return [own[r] for r, _ in learnt], np.array([y for _, y in learnt], np.int64), swaps
 
 

@@ -257,7 +257,7 @@ def test_counterfactual_penalty_shrinks_identity_effects():
         texts.append(words)
         y.append(toxic)
     features = [hasher.text(w) for w in texts]
-    swaps = [(k, hasher.text(o)) for k, w in enumerate(texts) for o in toxicity.swapped(w)]
+    swaps = [toxicity.difference(features[k], hasher.text(o)) for k, w in enumerate(texts) for o in toxicity.swapped(w)]
 
     def gap(penalty):
         model = toxicity.fit(features, np.array(y), swaps, penalty)
@@ -277,7 +277,7 @@ def test_the_corpus_has_identity_swaps(spark):
     model = toxicity.fit(features, y, swaps, always=toxicity.term_features())
     plain = toxicity.fit(features, y, [])
     z = lambda m, f: float(m.weights[f].sum())
-    moved = lambda m: float(np.mean([abs(z(m, o) - z(m, features[r])) for r, o in swaps]))
+    moved = lambda m: float(np.mean([abs(z(m, more) - z(m, less)) for more, less in swaps]))
     assert moved(model) <= moved(plain) + 0.05 and moved(model) < 0.1
 
 
@@ -310,7 +310,7 @@ def test_fit_against_a_loop(spark):
             w[f] -= rate * grad[f] / gw[f] ** 0.5
         gb += step_b**2
         b -= rate * step_b / gb**0.5
-    model = toxicity.fit(features, y, swaps, penalty, l2, steps, rate, 1, 0.0)
+    model = toxicity.fit(features, y, [toxicity.difference(features[r], other) for r, other in swaps], penalty, l2, steps, rate, 1, 0.0)
     assert abs(model.bias - b) < 1e-6 and all(abs(model.weights[f] - w[f]) < 1e-5 for f in used)
 
 
