@@ -12,7 +12,8 @@ normalises the text first and then never merges across its pre-tokens.
 All windows are full but the last one, which is padded to the window unless it is a power of two long.
 
 Edge cases: null text counts as empty and yields just the end token; repeated rows are packed once each;
-null ids are carried; an empty table gives an empty result; extra columns are ignored.
+null ids are carried; a text of any length is encoded whole, by itself if it exceeds a batch of
+``BATCH_BYTES``; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +37,7 @@ from .base import vocabulary, whole, written
 WINDOW = 2048
 END_ID = 1
 CACHE_WORDS = 300_000
-BATCH_ROWS = 1024
+BATCH_BYTES = 3_000_000
 
 
 class WordEncoder:
@@ -125,16 +126,23 @@ class WordEncoder:
         table, first = np.frombuffer(b"".join(raw), "<u2"), np.cumsum(sizes) - sizes
         n = sizes[codes]
         stops = np.cumsum(n)
-        # a batch has far fewer than 2^31 tokens, and 32 bits halve the memory of the gather
+        # a batch of BATCH_BYTES, or one text, has fewer than 2^31 tokens, as Arrow bounds a text; 32 bits halve the memory of the gather
         ids = table[np.arange(stops[-1] if len(n) else 0, dtype=np.int32) + np.repeat((first[codes] - (stops - n)).astype(np.int32), n)]
         edges = np.concatenate([[0], stops])[chunks.offsets.to_numpy()]
         return [ids[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of about BATCH_BYTES of a column, a row at least."""
     for batch in batches:
-        for start in range(0, batch.num_rows, BATCH_ROWS):
-            yield batch.slice(start, BATCH_ROWS)
+        start = size = 0
+        for i, n in enumerate(pc.binary_length(batch[column]).to_pylist()):
+            if size and size + n > BATCH_BYTES:
+                yield batch.slice(start, i - start)
+                start, size = i, 0
+            size += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,7 +159,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col:
         from pyspark import TaskContext
 
         part, before, encoder = TaskContext.get().partitionId(), 0, WordEncoder(path)
-        for batch in _slices(batches):
+        for batch in _slices(batches, "text"):
             end = np.array([END_ID], "<u2")
             ids = [np.concatenate([x, end]) for x in encoder.encode(batch["text"].to_pylist())]
             sizes = np.array([len(x) for x in ids], np.int64)
@@ -166,7 +174,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col:
 
 
 def pack(docs: DataFrame, window: int = WINDOW, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (array of int)."""
+    """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids, ids_crc32.
+
+    ``ids`` are 16-bit numbers; the unsigned CRC-32 is that of the ids as little-endian 32-bit ones.
+    """
     encoded = written(encode_documents(docs, tokenizer_path, id_col, text_col), "pack")
     totals = encoded.groupBy("part").agg(F.max(F.col("before") + F.col("tokens")).alias("total")).collect()  # a row for each partition
     first, offsets = 0, {}
@@ -176,11 +187,11 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer_path: str | None = Non
     base = np.zeros(max(offsets, default=0) + 1, np.int64)
     base[list(offsets)] = list(offsets.values())
     schema = T.StructType(
-        [encoded.schema["doc_id"], *[T.StructField(n, t) for n, t in (("start", T.LongType()), ("length", T.LongType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()), ("ids", T.BinaryType()))]]
+        [encoded.schema["doc_id"], *[T.StructField(n, t) for n, t in (("start", T.LongType()), ("length", T.LongType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()), ("ids", T.BinaryType()), ("ids_crc32", T.LongType()))]]
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in _slices(batches, "ids"):
             begin = base[batch["part"].to_numpy()] + batch["before"].to_numpy()
             sizes = batch["tokens"].to_numpy()
             pieces = (begin + sizes - 1) // window - begin // window + 1
@@ -193,18 +204,8 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer_path: str | None = Non
             ids = batch["ids"].to_pylist()
             cuts = [ids[r][2 * s : 2 * (s + n)] for r, s, n in zip(row, start, length, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].take(pa.array(row)), *map(pa.array, (start, length, sizes[row], sequence, lo - sequence * window)), pa.array(cuts, pa.binary())],
-                ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
+                [batch["doc_id"].take(pa.array(row)), *map(pa.array, (start, length, sizes[row], sequence, lo - sequence * window)), pa.array(cuts, pa.binary()), pa.array([zlib.crc32(np.frombuffer(c, "<u2").astype("<u4")) for c in cuts], pa.int64())],
+                schema.names,
             )
 
     return encoded.mapInArrow(cut, schema)
-
-
-def ids_crc32(ids: str = "ids") -> Column:
-    """Unsigned CRC-32 of 16-bit ids written as little-endian 32-bit numbers."""
-
-    @F.pandas_udf("bigint")
-    def crc(column):
-        return column.map(lambda b: zlib.crc32(np.frombuffer(b, "<u2").astype("<u4").tobytes())).astype("int64")
-
-    return crc(F.col(ids))

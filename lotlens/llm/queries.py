@@ -30,7 +30,7 @@ def op3_secrets(spark, sf_dir):
 
 def op4_packing(spark, sf_dir):
     pieces = packing.pack(documents(spark, sf_dir))
-    return pieces.select("doc_id", "start", "length", packing.ids_crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op5_byte_bpe(spark, sf_dir):

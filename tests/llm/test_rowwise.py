@@ -253,7 +253,7 @@ def test_packing(spark):
     tokenizer = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     tokenizer.encode_special_tokens = True
     ids = lambda t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
-    pieces = packing.pack(table(spark)).withColumn("ids_crc32", packing.ids_crc32())
+    pieces = packing.pack(table(spark))
     check_packing(pieces.collect(), [(i, ids(t)) for i, t in TEXTS])
     check_packing(queries.op4_packing(spark, "/root/testdata/sf0.01").collect(), [(r.doc_id, ids(r.text)) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()])
     assert packing.pack(table(spark, [])).count() == 0
