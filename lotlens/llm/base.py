@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -44,11 +45,17 @@ def sweep(spark: SparkSession) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared scratch folder and read it back, which cuts its lineage.
 
-    The table outlives any executor, so a lost one costs only the tasks that were running on it.
+    The table outlives any executor, so a lost one costs only the tasks that were running on it. While it is
+    written, rows go to Python ``BATCH_ROWS`` at a time at most, which bounds the buffers on both sides.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
