@@ -173,6 +173,12 @@ def splitter(pattern: str | None):
     return split
 
 
+def _bytes_of(numbers: np.ndarray) -> pa.Array:
+    """One binary value that is the array's own memory."""
+    ends = pa.py_buffer(np.array([0, numbers.nbytes], np.int32))
+    return pa.Array.from_buffers(pa.binary(), 1, [None, ends, pa.py_buffer(numbers)])
+
+
 def _numbered(pattern: str | None, crossed: np.ndarray, schema: T.StructType, block_chars: int):
     """Batches of documents to a row for each block: ids of documents, word numbers and words."""
 
@@ -184,7 +190,9 @@ def _numbered(pattern: str | None, crossed: np.ndarray, schema: T.StructType, bl
             ids = pa.concat_arrays(held)
             stops = np.cumsum([0, *map(len, codes)], dtype=np.int64)
             row = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
-            row += [pa.array([stops.tobytes()], pa.binary()), pa.array([np.concatenate(codes).tobytes()], pa.binary()), pa.array([list(words)], pa.list_(pa.string()))]
+            flat = np.concatenate(codes)
+            codes.clear()
+            row += [_bytes_of(stops), _bytes_of(flat), pa.array([list(words)], pa.list_(pa.string()))]
             return pa.RecordBatch.from_arrays(row, schema.names)
 
         for batch in batches:
