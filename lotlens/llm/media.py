@@ -2,16 +2,18 @@
 
 A payload becomes an 8-bit greyscale image 64 samples wide: header, image data deflated by zlib and cut
 into IDAT chunks, end mark, each chunk with its CRC-32. Reading checks the signature, every chunk's
-CRC and zlib's Adler sum, undoes the five row filters with numpy (runs of rows at a time where the
-filter allows it) and returns the samples. The perceptual hash shrinks the image to 32 x 32 by area
+CRC and zlib's Adler sum, undoes the row filters and returns the samples. The encoder writes the filters
+none, sub and up, which numpy undoes for runs of rows at a time; average and Paeth, which only foreign
+images have, depend on the sample just restored and go byte by byte. The perceptual hash shrinks the image to 32 x 32 by area
 means and keeps, for each of the 63 lowest frequencies of its two-dimensional cosine transform but the
 constant, whether it lies above their median; it is stored as 8 bytes.
 
 Everything is row by row: no shuffle, and memory is that of a few documents at a time.
 
 Edge cases: null text counts as empty, and an empty text is one row of 64 zero bytes; equal texts give
-equal media and hashes; null ids are carried; damaged media raise ``ValueError``; an empty table gives
-an empty result; extra columns are ignored.
+equal media and hashes; null ids are carried; a text of any length becomes one image, which its task
+holds whole; repeated rows are stored once each; damaged media raise ``ValueError``; an empty table gives
+an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

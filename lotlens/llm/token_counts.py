@@ -13,8 +13,8 @@ Sections default to lines with their newline; a column of ``array<struct<name,st
 points, stop exclusive, sorted, disjoint) may be named instead.
 
 Edge cases: null text counts as empty and has one empty section with no tokens; repeated rows are counted
-once each; null ids are carried; a null section list counts as no sections; an empty table gives an
-empty result; extra columns are ignored.
+once each; null ids are carried; a null section list counts as no sections; a text of any length is
+encoded whole; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
