@@ -14,9 +14,11 @@ _LOCAL: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder name in the shared folder (spark.checkpoint.dir), or a temporary one where that is unset."""
+    """A fresh folder name in the shared folder (spark.checkpoint.dir); a temporary one only in local mode with that unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if "dir" not in _LOCAL:
             _LOCAL["dir"] = tempfile.mkdtemp(prefix="lotlens-")
             atexit.register(shutil.rmtree, _LOCAL["dir"], ignore_errors=True)

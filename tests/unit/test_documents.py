@@ -1,6 +1,7 @@
 """Small documents, raw layers, manifests, the combined package and bounded reports."""
 
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import types as T
 
 from lotlens.operators import adapters, pricing_model
 from lotlens.plans import combined, manifests, packages
-from lotlens.sources import documents, payloads, sinks
+from lotlens.sources import documents, payloads, sinks, tables
 from lotlens.streaming import entities, scroll
 
 ROW = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
@@ -131,3 +132,10 @@ def test_scroll_over_files(spark, tmp_path):
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("pos", T.LongType())])
     state = scroll.scroll(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "log"), "key", ["pos"])
     assert {r.key for r in state.rows().collect()} == {"a", "b", "c"} and sum(state.found.values()) == 3
+
+
+def test_scratch_on_a_cluster_must_be_shared():
+    session = lambda master, shared: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: shared or default), sparkContext=SimpleNamespace(master=master))
+    assert tables.scratch(session("yarn", "hdfs://a/"), "x").startswith("hdfs://a/x-")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.scratch(session("yarn", None), "x")
