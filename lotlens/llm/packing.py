@@ -37,7 +37,7 @@ from .base import vocabulary, whole, written
 WINDOW = 2048
 END_ID = 1
 CACHE_WORDS = 300_000
-BATCH_BYTES = 3_000_000
+BATCH_BYTES = 8_000_000
 
 
 class WordEncoder:
