@@ -23,6 +23,8 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain, compress
+from operator import add, not_
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,7 @@ WINDOW = 2048
 END_ID = 1
 CACHE_WORDS = 300_000
 BATCH_BYTES = 8_000_000
+MARKS = frozenset(".,;:!?|")
 
 
 class WordEncoder:
@@ -84,15 +87,24 @@ class WordEncoder:
                 self.known[w] = raw[at:stop]
                 at = stop
 
-    def _split(self, chunk: str) -> list[str]:
-        """The pattern's words of a chunk, with short cuts for letters and letters before a mark."""
-        if chunk.isalpha():
-            return [chunk]
-        if not chunk:
-            return []
-        if chunk[-1] in ".,;:!?|" and chunk[:-1].isalpha():
-            return [chunk[:-1], chunk[-1]]
-        return self.words(chunk)
+    def _learn_chunks(self, unseen: list[str]) -> None:
+        """Ids of chunks: of letters, of letters before a mark, and of any others by the pattern's words.
+
+        The first two kinds are nearly all of them; they take no list and no loop of Python's for each chunk.
+        """
+        letters = list(map(str.isalpha, unseen))
+        single, others = list(compress(unseen, letters)), list(compress(unseen, map(not_, letters)))
+        heads = [c[:-1] for c in others]
+        marked = [h and c[-1] in MARKS for c, h in zip(others, map(str.isalpha, heads), strict=True)]
+        bases, double = list(compress(heads, marked)), list(compress(others, marked))
+        marks = [c[-1] for c in double]
+        split = {c: self.words(c) for c in compress(others, map(not_, marked))}
+        self._learn_words(list({*single, *bases, *marks, *chain.from_iterable(split.values())}.difference(self.known)))
+        known = self.known.__getitem__
+        self.chunks.update(zip(single, map(known, single), strict=True))
+        self.chunks.update(zip(double, map(add, map(known, bases), map(known, marks)), strict=True))
+        for c, ws in split.items():
+            self.chunks[c] = b"".join(map(known, ws))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         odd = [i for i, t in enumerate(texts) if self.separators(t)]
@@ -111,16 +123,12 @@ class WordEncoder:
         lower = [t.lower() if t.isascii() else self.blanks(" ", unicodedata.normalize("NFC", t).replace("\u03a3", "\u03c3").lower()) for t in texts]
         chunks = pc.ascii_split_whitespace(pa.array(lower, pa.large_string()))
         coded = chunks.flatten().dictionary_encode()
-        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        distinct, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         if len(self.chunks) > self.cache_words:
             self.chunks.clear()
         if len(self.known) > 2 * self.cache_words:
             self.known.clear()
-        words = {c: self._split(c) for c in set(distinct).difference(self.chunks)}
-        self._learn_words(list({w for ws in words.values() for w in ws}.difference(self.known)))
-        known = self.known.__getitem__
-        for c, ws in words.items():
-            self.chunks[c] = known(ws[0]) if len(ws) == 1 else b"".join(map(known, ws))
+        self._learn_chunks(list(set(distinct).difference(self.chunks)))
         raw = list(map(self.chunks.__getitem__, distinct))
         sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 2
         table, first = np.frombuffer(b"".join(raw), "<u2"), np.cumsum(sizes) - sizes
