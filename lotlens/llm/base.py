@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
+FILE_ROWS = 1 << 16
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -42,12 +43,23 @@ def sweep(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def files(rows: int) -> int:
+    """How many files a table of ``rows`` narrow rows should have."""
+    return max(1, -(-rows // FILE_ROWS))
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared scratch folder and read it back, which cuts its lineage.
 
     The table outlives any executor, so a lost one costs only the tasks that were running on it. While it is
     written, rows go to Python ``BATCH_ROWS`` at a time at most, which bounds the buffers on both sides.
+
+    ``rows``, about as many rows as its last stage can handle, holds that stage to as many tasks as :func:`files`
+    says; else a small table has a file for each task. On a local file system Hadoop starts a process for each
+    file and its checksum, and until such a process runs its own program it counts with the executor's whole memory.
     """
+    if rows is not None:
+        df = df.coalesce(files(rows))
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(BATCH_SETTING)
@@ -71,8 +83,9 @@ def hot_of(counts: DataFrame, key: str, total: int) -> DataFrame | None:
     """
     least = max(1, -(-total // HOT_SHARE))
     reps = F.ceil(F.col("n") / F.lit(least)).cast("int")
-    hot = written(counts.filter(F.col("n") > least).select(key, reps.alias("reps")), "hot")
-    return None if hot.isEmpty() else hot
+    hot = counts.filter(F.col("n") > least).select(key, reps.alias("reps"))
+    rows = hot.toArrow()
+    return counts.sparkSession.createDataFrame(rows, hot.schema) if rows.num_rows else None
 
 
 def hot_keys(many: DataFrame, key: str) -> DataFrame | None:

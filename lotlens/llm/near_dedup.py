@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import hot_keys, hot_of, packed, salted_join, whole, written
+from .base import files, hot_keys, hot_of, packed, salted_join, whole, written
 
 GRAM = 5
 SIMILARITY = 0.8
@@ -186,14 +186,17 @@ def multisets(texts: DataFrame, key: str, gram: int = GRAM) -> DataFrame:
     return texts.select(key, "text", F.char_length("text").alias("size")).mapInArrow(run, schema)
 
 
-def meetings(classes: DataFrame) -> DataFrame:
-    """(bucket, cls, grams, members, heads) of every bucket with more than one member; heads represent the bucket."""
+def meetings(classes: DataFrame, most: int) -> DataFrame:
+    """(bucket, cls, grams, members, heads) of every bucket with more than one member; heads represent the bucket.
+
+    ``most`` bounds the number of classes times bands.
+    """
     entries = classes.filter(F.col("bands").isNotNull()).select("cls", "grams", F.explode("bands").alias("bucket"))
     chosen = entries.groupBy("bucket").agg(
         F.count("*").alias("members"), F.min("cls").alias("r1"), F.max("cls").alias("r2"),
         F.min(F.struct(F.xxhash64(F.lit(1), "cls").alias("h"), "cls")).alias("r3"), F.min(F.struct(F.xxhash64(F.lit(2), "cls").alias("h"), "cls")).alias("r4"),
     )
-    buckets = written(chosen.filter("members > 1").select("bucket", "members", F.array_distinct(F.array("r1", "r2", "r3.cls", "r4.cls")).alias("heads")), "buckets")
+    buckets = written(chosen.filter("members > 1").select("bucket", "members", F.array_distinct(F.array("r1", "r2", "r3.cls", "r4.cls")).alias("heads")), "buckets", most)
     total = buckets.agg(F.sum("members")).first()[0] or 0
     hot = hot_of(buckets.select("bucket", F.col("members").alias("n")), "bucket", total)
     return salted_join(entries, buckets, "bucket", ["cls"], hot).select("bucket", "cls", "grams", "members", "heads")
@@ -234,13 +237,13 @@ def remaining_links(met: DataFrame, roots: DataFrame, bags: DataFrame, similarit
     components are read. Those outside the bucket's largest component meet all its members, in blocks
     of bounded size; within a block all pairs are compared on their multisets.
     """
-    spark = met.sparkSession
+    spark, entries = met.sparkSession, met.count()
     crowded = met.filter(F.size("heads") < F.col("members") - 1).select("bucket", "cls", "grams")
-    rooted = written(crowded.join(roots, "cls"), "rooted")
+    rooted = written(crowded.join(roots, "cls"), "rooted", entries)
     parts = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("grams").alias("g"))
     plan = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("g").alias("g"), F.max(F.struct("n", "g", "root")).alias("main")).filter("parts > 1")
     blocks = lambda n, g: F.ceil(F.greatest(n / F.lit(BLOCK), g / F.lit(BLOCK_GRAMS)))
-    plan = written(plan.select("bucket", F.col("main.root").alias("main"), blocks(F.col("n") - F.col("main.n"), F.col("g") - F.col("main.g")).alias("lefts"), blocks(F.col("n"), F.col("g")).alias("rights")), "blocks")
+    plan = written(plan.select("bucket", F.col("main.root").alias("main"), blocks(F.col("n") - F.col("main.n"), F.col("g") - F.col("main.g")).alias("lefts"), blocks(F.col("n"), F.col("g")).alias("rights")), "blocks", entries)
     schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
     if plan.isEmpty():
         return spark.createDataFrame([], schema)
@@ -295,45 +298,49 @@ def verified(pairs: DataFrame, bags: DataFrame, similarity: float = SIMILARITY)
 
 def components(links: DataFrame) -> DataFrame:
     """(cls, root): connected components of (a, b) links, each named by its smallest class."""
-    both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cls"), F.least("a", "m").alias("root")), "roots")
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = written(links.select(F.explode(ways).alias("way")).select("way.*"), "links")
+    rows = both.count()
+    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cls"), F.least("a", "m").alias("root")), "roots", rows)
     hubs = hot_keys(both, "b")
     while True:
         heard = salted_join(both, labels.select(F.col("cls").alias("b"), "root"), "b", ["a"], hubs).groupBy("a").agg(F.min("root").alias("heard"))
-        told = written(labels.join(heard.withColumnRenamed("a", "cls"), "cls", "left").select("cls", "root", F.least("root", "heard").alias("next")), "told")
+        told = written(labels.join(heard.withColumnRenamed("a", "cls"), "cls", "left").select("cls", "root", F.least("root", "heard").alias("next")), "told", rows)
         jump = labels.select(F.col("cls").alias("next"), F.col("root").alias("beyond"))
         beyond = salted_join(told, jump, "next", ["cls"], hot_keys(told, "next"))
-        after = written(beyond.select("cls", F.col("root").alias("old"), F.least("next", "beyond").alias("root")), "roots")
+        after = written(beyond.select("cls", F.col("root").alias("old"), F.least("next", "beyond").alias("root")), "roots", rows)
         if after.filter("root <> old").isEmpty():
             return after.select("cls", "root")
         labels = after.select("cls", "root")
 
 
-def _grouped(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per doc_id and class: cls, doc_id, n (rows), class_id, group_id, group_size, stays (one of its rows is the group's)."""
+def _grouped(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """A row per doc_id and class: cls, doc_id, n (rows), class_id, group_id, group_size, stays (one of its rows is the group's); and the number of documents."""
     texts = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).withColumn("cls", F.unhex(F.md5("text")))
     sketched = written(sketch(texts, ["doc_id", "cls"], bands, rows, gram), "sketch")
-    classes = written(sketched.groupBy("cls").agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.max("n").alias("grams")), "classes")
-    met = written(meetings(classes), "met")
-    pairs = written(candidate_pairs(met), "pairs")
+    total = sketched.count()
+    classes = sketched.groupBy("cls").agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.max("n").alias("grams"))
+    classes = written(classes, "classes", total * 8)  # its rows are that much wider
+    met = written(meetings(classes, total * bands), "met", total * bands)
+    pairs = written(candidate_pairs(met), "pairs", met.count())
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "doc_id"), "cls")
     wanted = needed.select("cls", F.col("doc_id").alias("__id"))
     chosen = texts.join(wanted.hint("shuffle_hash"), (texts["cls"] == wanted["cls"]) & texts["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
     bags = written(multisets(chosen.select("cls", "text"), "cls", gram), "bags")
-    roots = components(verified(pairs, bags, similarity))
+    roots = components(verified(pairs, bags, similarity).repartition(files(pairs.count())))
     named = classes.select("cls", F.col("doc_id").alias("class_id"), "copies").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = written(named, "named")
+    named = written(named, "named", total)
     rest = written(remaining_links(met, named.select("cls", "root"), bags, similarity), "rest")
     if not rest.isEmpty():
         beyond = components(rest).select(F.col("cls").alias("root"), F.col("root").alias("beyond"))
-        named = written(named.join(beyond, "root", "left").withColumn("root", F.coalesce("beyond", "root")).drop("beyond"), "named")
-    groups = written(named.groupBy("root").agg(F.max(F.struct("class_id", "cls")).alias("lead"), F.sum("copies").alias("group_size")), "roots")
+        named = written(named.join(beyond, "root", "left").withColumn("root", F.coalesce("beyond", "root")).drop("beyond"), "named", total)
+    groups = written(named.groupBy("root").agg(F.max(F.struct("class_id", "cls")).alias("lead"), F.sum("copies").alias("group_size")), "roots", total)
     groups = groups.select("root", F.col("lead.class_id").alias("group_id"), F.col("lead.cls").alias("lead"), "group_size")
-    of_class = written(salted_join(named, groups, "root", ["cls"], hot_keys(named, "root")).select("cls", "class_id", "group_id", "group_size", (F.col("cls") == F.col("lead")).alias("leads")), "groups")
+    of_class = written(salted_join(named, groups, "root", ["cls"], hot_keys(named, "root")).select("cls", "class_id", "group_id", "group_size", (F.col("cls") == F.col("lead")).alias("leads")), "groups", total)
     counted = sketched.groupBy("cls", "doc_id").agg(F.count("*").alias("n"))
-    hot = hot_of(classes.select("cls", F.col("copies").alias("n")), "cls", sketched.count())
+    hot = hot_of(classes.select("cls", F.col("copies").alias("n")), "cls", total)
     counted = salted_join(counted, of_class, "cls", ["doc_id"], hot)
-    return counted.withColumn("stays", F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id"))).drop("leads")
+    return counted.withColumn("stays", F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id"))).drop("leads"), total
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,15 +349,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     Both ids are the largest doc_id of the class or group, and that document stays; of several texts with
     that id the one whose hash is largest.
     """
-    counted = _grouped(docs, similarity, bands, rows, gram, id_col, text_col)
+    counted, _ = _grouped(docs, similarity, bands, rows, gram, id_col, text_col)
     out = counted.select("doc_id", "class_id", "group_id", "group_size", "stays", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("copy"))
     return out.select("doc_id", "class_id", "group_id", "group_size", (F.col("stays") & (F.col("copy") == 1)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group: the row :func:`near_duplicates` keeps, found by id and text."""
-    stay = _grouped(docs, id_col=id_col, text_col=text_col, **options).filter("stays")
-    stay = written(stay.select(F.col("doc_id").alias("stay_id"), F.col("cls").alias("stay_cls"), (F.col("n") > 1).alias("repeated")), "stay")
+    counted, total = _grouped(docs, id_col=id_col, text_col=text_col, **options)
+    stay = written(counted.filter("stays").select(F.col("doc_id").alias("stay_id"), F.col("cls").alias("stay_cls"), (F.col("n") > 1).alias("repeated")), "stay", total)
     text = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
     keyed = packed(docs).select("row", F.col(f"row.`{id_col}`").alias("row_id"), F.unhex(F.md5(text)).alias("row_cls"))
 

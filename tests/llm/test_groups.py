@@ -3,12 +3,13 @@
 import hashlib
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import regex
 
 import corpus_pipeline
-from lotlens.llm import exact_dedup, line_dedup, near_dedup, queries, sharding, toxicity
+from lotlens.llm import base, exact_dedup, line_dedup, near_dedup, queries, sharding, toxicity
 
 from .corpus import BASE, TEXTS, same, table
 
@@ -187,6 +188,26 @@ def test_near_dedup_original_and_edited_copies(spark, monkeypatch):
     assert sorted(r.doc_id for r in left) == sorted({w[1] for w in wanted})
 
 
+def test_near_dedup_writes_few_files(spark, monkeypatch):
+    """Scratch tables have as many files as their rows need, however many tasks a stage has."""
+    texts = edited_copies(60) + TEXTS[:1]
+    wanted = groups_by_brute_force(texts)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for rows, most in ((1 << 18, 1), (16, 1 << 20)):
+            monkeypatch.setattr(base, "FILE_ROWS", rows, raising=False)
+            base.sweep(spark)
+            same(near_dedup.near_duplicates(table(spark, texts)), wanted, ["doc_id", "group_id", "group_size"])
+            folder = Path(base.scratch_dir(spark).removeprefix("file://"))
+            found = {d.name: len(list(d.glob("part-*"))) for d in folder.iterdir()}
+            assert {"sketch", "met", "links", "named", "rest"} <= {name.split("-")[0] for name in found}
+            assert all(n <= most for name, n in found.items() if name.split("-")[0] not in ("sketch", "bags", "links", "rest")), found
+            assert not any(name.startswith("hot-") for name in found)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_near_dedup_null_and_repeated_ids(spark):
     near = [BASE.replace("term5 ", f"zzz{k} ") for k in range(3)]
     texts = [(None, near[0]), (None, near[1]), (None, "alone one two three four five"), (7, near[2].replace("term", "word")), (7, near[1].replace("term", "word")), (7, "other text"), (7, "other text")]
